@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that ``str.strip`` style trimming removes; one list for Spark and for the SQL oracles.
-BLANKS = " \t\n\r 　"
+BLANKS = " \t\n\r\u00a0\u3000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
