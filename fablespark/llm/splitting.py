@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that are a token each, and the blanks between tokens.
@@ -26,9 +26,28 @@ _CLAUSE_END = re.compile("[,;:،؛、，；：—–·][\"'’”»」』）)\\]
 PIECES = "chunk_id string, piece_index int, n_pieces int, start_pos int, end_pos int, tokens int, text string"
 
 
-def token_count(text: Column) -> Column:
-    """Number of tokens of a text, in the JVM; null counts as 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
+def _kinds() -> np.ndarray:
+    kinds = np.ones(65536, dtype=np.uint8)  # 0 a blank, 1 part of a run, 2 a token by itself
+    kinds[[ord(c) for c in BLANK]] = 0
+    for first, last in ((0x0E00, 0x0E7F), (0x3040, 0x30FF), (0x3400, 0x9FFF)):
+        kinds[first : last + 1] = 2
+    return kinds
+
+
+_KIND = _kinds()
+
+
+def token_counts(texts: list[str]) -> np.ndarray:
+    """Number of tokens of each text, all texts in one pass."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _KIND[np.minimum(codes, 65535)]
+    begins = kind == 2
+    begins[1:] |= (kind[1:] == 1) & (kind[:-1] != 1)
+    if len(kind):
+        begins[0] |= kind[0] == 1
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    total = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
+    return np.diff(total[np.concatenate([[0], ends]).astype(np.int64)])
 
 
 def boundary_strengths(text: str, spans: np.ndarray) -> np.ndarray:
@@ -101,6 +120,13 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     return [(int(spans[a, 0]), int(spans[b - 1, 1]), b - a) for a, b in split_tokens(boundary_strengths(text, spans), limit, overlap)]
 
 
+def _oversized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for begin in range(0, len(batch), 1000):
+            part = batch.iloc[begin : begin + 1000]
+            yield part[token_counts(part["text"].tolist()) > part["max_tokens"].clip(lower=1).to_numpy()]
+
+
 def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -113,7 +139,7 @@ def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def split_oversized(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
     """Pieces of every distinct chunk whose text has more tokens than its profile allows.
 
-    Tokens are counted in the JVM on the stored text, whatever token_count says, and only oversized texts go on to
+    Tokens are counted on the stored text, whatever token_count says, and only oversized texts are shuffled and go on to
     the splitter. Chunks with null text, null chunk_id, no known profile or a null limit have no size to exceed and give
     no rows; re-delivered chunks count once; limits below 1 count as 1. Columns beside the needed ones are ignored.
     """
@@ -122,7 +148,9 @@ def split_oversized(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
         chunks.select("chunk_id", "text", "profile_id")
         .where("chunk_id IS NOT NULL AND text IS NOT NULL AND profile_id IS NOT NULL")
         .join(limits, "profile_id")  # a table of profiles is small: the planner broadcasts it if its size allows
-        .where(token_count(F.col("text")) > F.col("max_tokens"))
+        .where(F.length("text") > F.greatest("max_tokens", F.lit(1)))  # no text has more tokens than characters
+        .select("chunk_id", "text", "max_tokens", "overlap_tokens")
+        .mapInPandas(_oversized, "chunk_id string, text string, max_tokens int, overlap_tokens int")
         .groupBy("chunk_id")
         .agg(F.min(F.struct("text", "max_tokens", "overlap_tokens")).alias("x"))
         .select("chunk_id", "x.text", "x.max_tokens", "x.overlap_tokens")
