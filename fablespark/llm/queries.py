@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fablespark.llm import grouping, mixing, packing, sentences, splitting, survivors, tokens
+from fablespark.llm import grouping, mixing, names, packing, sentences, splitting, survivors, tokens
 from fablespark.runtime import table
 
 
@@ -30,6 +30,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "book_chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one character or group."""
+    return names.name_pairs(table(spark, sf_dir, "entities_raw"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that are alone at the top of their duplicate group in every criterion."""
     picks = survivors.choose(table(spark, sf_dir, "entities_raw"), table(spark, sf_dir, "extractors"))
@@ -63,7 +68,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The pN_ queries by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p5_found, p5_survivors, p6_packed, p6_fill, p7_mixed, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_survivors, p6_packed, p6_fill, p7_mixed, p7_shares)}
 
 
 _CLEAN = "nullif(trim(regexp_replace(lower({}), ' +', ' ', 'g'), ' '), '')"
