@@ -394,7 +394,8 @@ def name_clusters(entities: DataFrame) -> DataFrame:
     names = cut(names)
     alias_rows = names.select("book_num", "entity_type", "name", F.explode("aliases").alias("alias"))
     texts = names.select("book_num", "entity_type", F.col("name").alias("text")).unionByName(alias_rows.select("book_num", "entity_type", F.col("alias").alias("text"))).distinct()
-    parsed = cut(texts.mapInPandas(_parse_batches, _PARSED))
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, costly to parse: keep all partitions
+    parsed = cut(texts.repartition(parts).mapInPandas(_parse_batches, _PARSED))
     place = ["book_num", "entity_type"]
     of_name = parsed.select(*place, F.col("text").alias("name"), F.col("node").alias("name_node"))
     of_alias = parsed.select(*place, F.col("text").alias("alias"), F.col("node").alias("alias_node"))

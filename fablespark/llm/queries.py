@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fablespark.llm import grouping, mixing, names, packing, sentences, splitting, survivors, tokens
-from fablespark.runtime import table
+from fablespark.llm import grouping, mixing, names, packing, pii, sentences, splitting, survivors, tokens
+from fablespark.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +66,24 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(tokens.document_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in the texts of documents."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"), _story_names(spark, sf_dir))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of documents with placeholders for personal information."""
+    return pii.redact(table(spark, sf_dir, "documents"), cut(p8_found(spark, sf_dir)))
+
+
+def _story_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures = table(spark, sf_dir, "story_figures").selectExpr("figure_name AS name")
+    return figures.unionByName(table(spark, sf_dir, "entities_raw").select("name"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The pN_ queries by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_survivors, p6_packed, p6_fill, p7_mixed, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_survivors, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_redacted)}
 
 
 _CLEAN = "nullif(trim(regexp_replace(lower({}), ' +', ' ', 'g'), ' '), '')"
