@@ -14,7 +14,7 @@ from fablespark.llm.pii_model import KINDS, trained
 from fablespark.runtime import cleaned
 
 _JOIN = "\n\n"
-_STREAM_CHARS = 500_000
+_STREAM_CHARS = 2_000_000
 #: Characters that no span begins or ends with; closing brackets and full stops are left where they may belong to it.
 _EDGE_LEFT = _EDGE_RIGHT = " \t\n\r\u00a0\u3000<>,;:"
 

@@ -1,6 +1,6 @@
 """Training of the personal-data tagger, in numpy, from labelled spans.
 
-python -m fablespark.llm.pii_training DOCUMENTS.parquet [SAMPLE_DOCUMENTS]
+python -m fablespark.llm.pii_training DOCUMENTS.parquet [SAMPLE_DOCUMENTS SECONDS]
 
 The labelled spans are made here: the carrier phrases and formats below mark the spans of a bounded sample of documents
 (``SAMPLE_DOCUMENTS`` rows at most), and part of the marked names and addresses are replaced by invented ones, so that the network
@@ -193,7 +193,7 @@ def _sampled_gradients(job: tuple) -> tuple[float, dict[str, np.ndarray]]:
     return gradients(ids, gold, p)
 
 
-def train(texts: list[str], spans: list[list[tuple[int, int, int]]], hidden: int = 32, steps: int = 1500, workers: int = 8, rows: int = 24, width: int = 192, seed: int = 1, seconds: float = 900) -> dict[str, np.ndarray]:
+def train(texts: list[str], spans: list[list[tuple[int, int, int]]], hidden: int = 16, steps: int = 1500, workers: int = 8, rows: int = 24, width: int = 192, seed: int = 1, seconds: float = 900) -> dict[str, np.ndarray]:
     """Weights of the network, trained on windows of the texts, most of them around spans."""
     rng = np.random.default_rng(seed)
     counts: dict[str, int] = {}
@@ -235,7 +235,7 @@ def train(texts: list[str], spans: list[list[tuple[int, int, int]]], hidden: int
             g = {k: sum(x[1][k] for x in parts) / workers for k in p}
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             done = max(step / steps, (time.time() - began) / seconds)
-            rate = 0.006 * min(1, step / 50) * max(0.02, 1 - done)
+            rate = 0.01 * min(1, step / 50) * max(0.02, 1 - done)
             for k, a in g.items():
                 a *= min(1.0, 0.5 / (norm + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * a
