@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -28,7 +29,7 @@ def ratio(a: str | None, b: str | None) -> int | None:
     return round(200 * common_subsequence(a, b) / total) if total else 100
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="Int32")
 

@@ -238,7 +238,7 @@ def resolve_entities(entities: DataFrame, keys: list[str] = ("book_num", "entity
 
 def counts_by_chapter(entities: DataFrame, keys: list[str]) -> DataFrame:
     """Entities per chapter and type as a wide table, zeros filled, with the sum over all types."""
-    wide = entities.groupBy(*keys).pivot("entity_type", TYPES).agg(F.count("*")).fillna(0)
+    wide = entities.groupBy(*keys).pivot("entity_type", TYPES).agg(F.count(F.lit(1))).fillna(0)
     return wide.withColumn("total", sum((F.col(t) for t in TYPES), F.lit(0)))
 
 

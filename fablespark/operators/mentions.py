@@ -18,7 +18,7 @@ def entity_terms(entities: DataFrame, keys: list[str]) -> DataFrame:
 def text_words(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, word): the distinct words of each text, lower case; a word is a run of letters, digits and underscores."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}_]+"), lambda w: w != ""))
-    return texts.select(*keys, F.explode(words).alias("word"))
+    return texts.select(*keys, words.alias("_w")).select(*keys, F.explode("_w").alias("word"))
 
 
 def mentioned_terms(texts: DataFrame, text_keys: list[str], terms: DataFrame, on: list[str], text: str = "text") -> DataFrame:

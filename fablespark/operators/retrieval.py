@@ -18,13 +18,10 @@ def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "em
 
     The queries are a stated set of checked size that goes to every task; each task keeps k chunks per query before the shuffle.
     """
-    stated = small_rows(queries.select("query_id", F.col("query_vector").cast("array<double>")))
+    stated = small_rows(queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v")))
     if not stated:
         return chunks.select(F.lit(None).cast("long").alias("query_id"), chunk_id, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    spark = chunks.sparkSession
-    table = spark.createDataFrame(stated, f"query_id {queries.schema['query_id'].dataType.simpleString()}, query_vector array<double>")
-    packed = table.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("q")).head()["q"]
-    literal = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["query_vector"]]).alias("v")) for r in packed])
+    literal = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["v"]).alias("v")) for r in stated])
     scored = chunks.select(chunk_id, vector, F.explode(literal).alias("q")).select(F.col("q.query_id").alias("query_id"), chunk_id, F.round(cosine(F.col(vector), F.col("q.v")), 6).alias("score"))
     return rank_hits(scored.where("score IS NOT NULL"), k, chunk_id)
 
@@ -38,7 +35,8 @@ def rank_hits(scored: DataFrame, k: int, chunk_id: str) -> DataFrame:
 def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(word, key, tf, length): the inverted index of the texts."""
     words = F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
-    rows = texts.select(key, F.size(words).alias("length"), F.explode(words).alias("word"))
+    split = texts.select(key, words.alias("w"))  # a step of its own: what stands beside explode is computed for each word
+    rows = split.select(key, F.size("w").alias("length"), F.explode("w").alias("word"))
     return rows.groupBy("word", key, "length").agg(F.count("*").alias("tf"))
 
 
@@ -151,6 +149,6 @@ def grounded(claims: DataFrame, texts: DataFrame, key: str, least: float = 0.6)
     """(claim_id, share, grounded): the share of a claim's words that its cited text (key) has."""
     asked = text_words(claims, ["claim_id", key], "claim")
     total = asked.groupBy("claim_id").agg(F.count("*").alias("n"))
-    have = asked.join(text_words(texts, [key]), [key, "word"]).groupBy("claim_id").agg(F.count("*").alias("h"))
+    have = asked.join(text_words(texts, [key]).distinct(), [key, "word"]).groupBy("claim_id").agg(F.count("*").alias("h"))
     share = F.coalesce(F.col("h"), F.lit(0)) / F.col("n")
     return total.join(have, "claim_id", "left").select("claim_id", F.round(share, 6).alias("share"), (share >= least).alias("grounded"))
