@@ -161,14 +161,14 @@ def resolution_edges(entities: DataFrame, keys: list[str], p: DedupParams = Dedu
     Equal names and shared aliases, or a name among the other's aliases, meet through the smallest id that has the string. Other
     pairs of names are compared only where they share a rare bigram, which names of a sufficient ratio do.
     """
-    own = entities.select("id", *keys, tx.normalise("name").alias("n"), F.transform(list_or_empty(F.col("aliases")), tx.normalise).alias("a"))
-    strings = own.select("id", *keys, F.explode(F.array_distinct(F.concat(F.array("n"), "a"))).alias("s")).where("s <> ''")
-    hub = F.min("id").over(Window.partitionBy(*keys, "s"))
+    own = entities.select("id", *keys, tx.normalise("name").alias("_n"), F.transform(list_or_empty(F.col("aliases")), tx.normalise).alias("_a"))
+    strings = own.select("id", *keys, F.explode(F.array_distinct(F.concat(F.array("_n"), "_a"))).alias("_s")).where("_s <> ''")
+    hub = F.min("id").over(Window.partitionBy(*keys, "_s"))
     exact = strings.select(F.col("id").alias("u"), hub.alias("v")).where("u <> v")
-    names = cut(own.where("n <> ''").groupBy(*keys, "n").agg(F.min("id").alias("id")))
-    a, b = names.select(*keys, F.col("n").alias("n1"), F.col("id").alias("u")), names.select(*keys, F.col("n").alias("n2"), F.col("id").alias("v"))
-    pairs = _name_candidates(names, keys, p).join(a, [*keys, "n1"]).join(b, [*keys, "n2"])
-    fuzzy = pairs.withColumn("r", indel_ratio("n1", "n2")).where(F.col("r") >= needed_ratio(p, F.col("n1"), F.col("n2"))).select("u", "v")
+    names = cut(own.where("_n <> ''").groupBy(*keys, "_n").agg(F.min("id").alias("id")))
+    a, b = names.select(*keys, F.col("_n").alias("_n1"), F.col("id").alias("u")), names.select(*keys, F.col("_n").alias("_n2"), F.col("id").alias("v"))
+    pairs = _name_candidates(names, keys, p).join(a, [*keys, "_n1"]).join(b, [*keys, "_n2"])
+    fuzzy = pairs.withColumn("_r", indel_ratio("_n1", "_n2")).where(F.col("_r") >= needed_ratio(p, F.col("_n1"), F.col("_n2"))).select("u", "v")
     return exact.unionByName(fuzzy).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -181,22 +181,21 @@ def _name_candidates(names: DataFrame, keys: list[str], p: DedupParams) -> DataF
     least = p.ratio - 0.5  # ratios are rounded
     # Bigrams that are not in order can be lost two per letter: for ratio r of names with a + b letters at most
     # (a + b)(1 - r) letters are unmatched, each in at most two bigrams.
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 1, F.lit(1))), lambda i: F.substring(F.col("n"), i, F.lit(2)))
-    listed = names.select(*keys, "n", F.length("n").alias("len"), grams.alias("g"))
-    counted = listed.select(*keys, "n", "len", F.size("g").alias("m"), F.explode(F.transform("g", lambda x, i: F.struct(x.alias("gram"), F.size(F.filter(F.slice("g", 1, i + 1), lambda y: y == x)).alias("nth")))).alias("t")).select(*keys, "n", "len", "m", "t.gram", "t.nth")
-    weight = counted.groupBy(*keys, "gram", "nth").agg(F.count("*").alias("f"))
-    ranked = counted.join(weight, [*keys, "gram", "nth"]).withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "n").orderBy("f", "gram", "nth")))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_n") - 1, F.lit(1))), lambda i: F.substring(F.col("_n"), i, F.lit(2)))
+    nth = F.transform("_g", lambda x, i: F.struct(x.alias("_gram"), F.size(F.filter(F.slice("_g", 1, i + 1), lambda y: y == x)).alias("_nth")))
+    listed = names.select(*keys, "_n", F.length("_n").alias("_len"), grams.alias("_g")).select("*", nth.alias("_t"))
+    counted = listed.select(*keys, "_n", "_len", F.size("_g").alias("_m"), F.explode("_t").alias("_t")).select(*keys, "_n", "_len", "_m", "_t.*")
+    frequency = counted.groupBy(*keys, "_gram", "_nth").agg(F.count("*").alias("_f"))
+    ranked = counted.join(frequency, [*keys, "_gram", "_nth"]).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_n").orderBy("_f", "_gram", "_nth")))
     # The partner is at most len (2 - r) / r long, so at most 2 len (1 - r) / r letters of both are unmatched.
-    unmatched = F.floor(F.col("len") * 2 * (100 - least) / least)
-    prefix = ranked.where((F.col("rank") <= 2 * unmatched + 1) | (F.col("m") <= 2 * unmatched))
-    short = prefix.where(F.col("m") <= 2 * unmatched).select(*keys, "n", "len").distinct()
-    a = prefix.select(*keys, "gram", "nth", F.col("n").alias("n1"), F.col("len").alias("l1"))
-    b = prefix.select(*keys, "gram", "nth", F.col("n").alias("n2"), F.col("len").alias("l2"))
-    near = F.least("l1", "l2") * (200 - least) >= F.greatest("l1", "l2") * least
-    met = a.join(b, [*keys, "gram", "nth"]).where(near & (F.col("n1") < F.col("n2"))).select(*keys, "n1", "n2")
-    # Names too short for a common bigram to be sure meet by length; there are few of them.
-    s1, s2 = short.select(*keys, F.col("n").alias("n1"), F.col("len").alias("l1")), short.select(*keys, F.col("n").alias("n2"), F.col("len").alias("l2"))
-    few = s1.join(s2, keys).where(near & (F.col("n1") < F.col("n2"))).select(*keys, "n1", "n2")
+    unmatched = F.floor(F.col("_len") * 2 * (100 - least) / least)
+    prefix = ranked.where((F.col("_rank") <= 2 * unmatched + 1) | (F.col("_m") <= 2 * unmatched))
+    short = prefix.where(F.col("_m") <= 2 * unmatched).select(*keys, "_n", "_len").distinct()
+    side = lambda df, k, *more: df.select(*keys, *more, F.col("_n").alias(f"_n{k}"), F.col("_len").alias(f"_len{k}"))
+    near = (F.least("_len1", "_len2") * (200 - least) >= F.greatest("_len1", "_len2") * least) & (F.col("_n1") < F.col("_n2"))
+    met = side(prefix, 1, "_gram", "_nth").join(side(prefix, 2, "_gram", "_nth"), [*keys, "_gram", "_nth"]).where(near).select(*keys, "_n1", "_n2")
+    # Names too short for a common bigram to be sure meet by their keys; names of two or three letters are few.
+    few = side(short, 1).join(side(short, 2), keys).where(near).select(*keys, "_n1", "_n2")
     return met.unionByName(few).distinct()
 
 

@@ -85,7 +85,7 @@ def build_scenes(numbered: DataFrame, keys: list[str], order: str, p: SceneProfi
     scenes = numbered.groupBy(*keys, "scene_number").agg(*columns)
     if p.drop_short:
         scenes = scenes.withColumn("_n", F.sum("num_chunks").over(Window.partitionBy(*keys))).where("_n >= 2").drop("_n")
-    return scenes.withColumn("avg_similarity", F.round("avg_similarity", 6)).withColumn("min_similarity", F.round("min_similarity", 6))
+    return scenes
 
 
 def detect_scenes(chunks: DataFrame, keys: list[str], order: str, p: SceneProfile = SceneProfile(), vector: str = "embedding", **columns: str) -> DataFrame:

@@ -244,7 +244,7 @@ _PROFILES = {
     "aggressive": (SceneProfile(strategy="aggressive", recovery=0.2), _valleys("q", "sd", "1.5::DOUBLE * sd", 0.2)),
 }
 _NUMBERED = "n AS (SELECT *, 1 + coalesce(sum(CASE WHEN valley THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS scene_number FROM v)"
-_SCENES = "scene AS (SELECT * EXCLUDE total FROM (SELECT *, sum(num_chunks) OVER (PARTITION BY label) AS total FROM (SELECT label, scene_number, count(*) AS num_chunks, round(coalesce(avg(sim) FILTER (NOT valley), 0), 6) AS avg_similarity, round(coalesce(min(sim) FILTER (NOT valley), 0), 6) AS min_similarity, list(vec_id ORDER BY vec_id) AS chunk_ids FROM n GROUP BY ALL)) WHERE total >= 2)"
+_SCENES = "scene AS (SELECT * EXCLUDE total FROM (SELECT *, sum(num_chunks) OVER (PARTITION BY label) AS total FROM (SELECT label, scene_number, count(*) AS num_chunks, coalesce(avg(sim) FILTER (NOT valley), 0) AS avg_similarity, coalesce(min(sim) FILTER (NOT valley), 0) AS min_similarity, list(vec_id ORDER BY vec_id) AS chunk_ids FROM n GROUP BY ALL)) WHERE total >= 2)"
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -293,10 +293,10 @@ def _scenes(spark: SparkSession, d: str) -> DataFrame:
     return sc.detect_scenes(_embeddings(spark, d), ["label"], "vec_id", _PROFILES["aggressive"][0], chunk="vec_id")
 
 
-@query(f"WITH {_PROFILES['aggressive'][1]}, {_NUMBERED}, {_SCENES} SELECT label, scene_number, num_chunks, avg_similarity, min_similarity, array_to_string(chunk_ids, ',') AS chunk_ids FROM scene")
+@query(f"WITH {_PROFILES['aggressive'][1]}, {_NUMBERED}, {_SCENES} SELECT label, scene_number, num_chunks, round(avg_similarity, 6) AS avg_similarity, round(min_similarity, 6) AS min_similarity, array_to_string(chunk_ids, ',') AS chunk_ids FROM scene")
 def scenes(spark: SparkSession, d: str) -> DataFrame:
     """Scenes with their chunks and inner similarities."""
-    return _scenes(spark, d).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+    return _scenes(spark, d).select("label", "scene_number", "num_chunks", F.round("avg_similarity", 6).alias("avg_similarity"), F.round("min_similarity", 6).alias("min_similarity"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
 @query(f"""
