@@ -111,4 +111,4 @@ def pack_documents(tokens: DataFrame, containers: DataFrame, targets: DataFrame
 def packing_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Containers, tokens and fill of each capacity."""
     used = packed.groupBy("container_id").agg(F.countDistinct("container_no").alias("containers"), F.sum("tokens").alias("tokens"))
-    return containers.join(used, "container_id").select("container_id", "container_name", "capacity_tokens", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+    return containers.select("container_id", "container_name", "capacity_tokens").distinct().join(used, "container_id").select("container_id", "container_name", "capacity_tokens", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))

@@ -44,7 +44,8 @@ def measure(entities: DataFrame, extractors: DataFrame) -> DataFrame:
     for field, there in (("description", F.length(F.trim("description")) > 0), ("aliases", F.size(visible) > 0), ("source_chapters", F.size(chapters) > 0), ("extractor_id", F.col("extractor_id").isNotNull())):
         has = has + F.when(there, FIELDS[field]).otherwise(0)
     points = (
-        entities.join(trust, "extractor_id", "left")
+        entities.select("mention_id", "book_num", "entity_type", "name", "description", "aliases", "source_chapters", "extractor_id", "extracted_at")
+        .join(trust, "extractor_id", "left")
         .select(
             "book_num",
             "entity_type",
