@@ -276,27 +276,17 @@ def cluster(nodes: list[tuple[str, str, str, str, str, int]], stated: list[tuple
     heads: dict[str, list[str]] = defaultdict(list)
     for node in sorted(full, key=lambda n: (-support[n], n)):
         heads[root(node)].append(node)
-    done: list[str] = []
-    for own in sorted(heads, key=lambda r: (-sum(support[n] for n in heads[r]), r)):
-        costs: dict[str, float] = {}
-        apart = set()
-        for other in done:
-            if root(other) == own:
-                continue
-            for a in heads[other]:
-                for b in heads[own]:
-                    cost = align(full[a], full[b])
-                    if cost == NAMESAKE:
-                        apart.add(root(other))
-                    elif cost != UNLIKE:
-                        costs[root(other)] = min(cost, costs.get(root(other), 9.0))
-        costs = {r: c for r, c in costs.items() if r not in apart or c == 0.0}
-        if costs:
-            least = min(costs.values())
-            best = [r for r, c in costs.items() if c == least]
-            if len(best) == 1:
-                parent[own] = best[0]
-        done.append(own)
+    near = _costs(heads, full)
+    # A spelling as near to two namesakes is either's, and joins nobody.
+    nearest = {h: _nearest(near[h]) for h in heads}
+    either = {h for h, best in nearest.items() if any(near[x].get(y) == NAMESAKE for x, y in combinations(best, 2))}
+    done: set[str] = set()
+    for own in sorted(heads.keys() - either, key=lambda r: (-sum(support[n] for n in heads[r]), r)):
+        apart = {root(o) for o, c in near[own].items() if c == NAMESAKE and o in done}
+        best = _nearest({o: c for o, c in near[own].items() if o not in either})
+        for target in sorted({root(o) for o in best if o in done} - apart):
+            parent[root(own)] = root(target)
+        done.add(own)
     members: dict[str, list[str]] = defaultdict(list)
     for node in full:
         members[root(node)].append(node)
@@ -333,6 +323,24 @@ def cluster(nodes: list[tuple[str, str, str, str, str, int]], stated: list[tuple
     return {n[0]: root(n[0]) for n in nodes}
 
 
+def _costs(heads: dict[str, list[str]], full: dict[str, tuple[str, str]]) -> dict[str, dict[str, float | str]]:
+    """For each group of stated equals the cost of aligning it with each other group, NAMESAKE where that is all there is."""
+    near: dict[str, dict[str, float | str]] = {h: {} for h in heads}
+    for x, y in combinations(sorted(heads), 2):
+        found = [c for a in heads[x] for b in heads[y] if (c := align(full[a], full[b])) != UNLIKE]
+        numbers = [c for c in found if c != NAMESAKE]
+        if found:
+            # Namesakes stay apart unless one of the spellings is the very same.
+            near[x][y] = near[y][x] = min(numbers) if numbers and (len(numbers) == len(found) or 0.0 in numbers) else NAMESAKE
+    return near
+
+
+def _nearest(costs: dict[str, float | str]) -> list[str]:
+    numbers = {o: c for o, c in costs.items() if c != NAMESAKE}
+    least = min(numbers.values(), default=None)
+    return [o for o, c in numbers.items() if c == least]
+
+
 def _one_family(told: set[str], members: dict[str, list[str]], full: dict[str, tuple[str, str]], parent: dict[str, str]) -> set[str]:
     """Unites clusters that share an epithet and a family name and aren't namesakes; the clusters then told."""
     first, *rest = sorted(told, key=lambda r: (-len(members[r]), r))
