@@ -45,52 +45,74 @@ class Tagger:
         self.table = symbol_table(str(weights["own"]))
         self.hidden = int(weights["Uf"].shape[0])
         # A sigmoid is half of one and a tanh of half its argument: with the gates' weights halved, one tanh serves all four
-        # gates, and as the state below is twice the hidden state, the weights that it meets are halved too.
-        scale = np.ones(4 * self.hidden, dtype=np.float32)
-        scale[: 3 * self.hidden] = 0.5
+        # gates, and as the state below is twice the hidden state, the weights that it meets are halved too. Gates are kept
+        # apart, so that every step works on contiguous arrays.
+        n = self.hidden
         f32 = {k: v.astype(np.float32) for k, v in weights.items() if k != "own"}
-        self.inputs = {d: np.ascontiguousarray((f32[f"E{d}"] + f32[f"b{d}"]) * scale) for d in "fb"}
-        self.recurrent = {d: np.ascontiguousarray(f32[f"U{d}"] * scale * 0.5) for d in "fb"}
-        self.out = {d: np.ascontiguousarray(f32[f"V{d}"].T * 0.5) for d in "fb"}
+        half = np.array([0.5, 0.5, 0.5, 1], dtype=np.float32)[:, None, None]
+        gates = lambda m: np.ascontiguousarray(m.reshape(len(m), 4, n).transpose(1, 0, 2)) * half
+        self.inputs = [gates(f32[f"E{d}"] + f32[f"b{d}"]) for d in "fb"]
+        self.recurrent = np.stack([gates(f32[f"U{d}"]) * 0.5 for d in "fb"])
+        self.out = np.stack([np.ascontiguousarray(f32[f"V{d}"].T) * 0.5 for d in "fb"])
         self.out_bias, self.transitions, self.start = f32["vb"], f32["T"], f32["s"]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """Scores (time, tag, window) of symbol ids (time, window)."""
+        """Scores (time, tag, window) of symbol ids (time, window); both directions go step by step together."""
         steps, windows = ids.shape
         n = self.hidden
         scores = np.empty((steps, TAGS, windows), dtype=np.float32)
         scores[:] = self.out_bias[:, None]
-        for d in "fb":
-            h, c, t1 = (np.zeros((windows, n), dtype=np.float32) for _ in range(3))
-            z, z2 = (np.empty((windows, 4 * n), dtype=np.float32) for _ in range(2))
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.take(self.inputs[d], ids[t], axis=0, out=z, mode="clip")
-                np.dot(h, self.recurrent[d], out=z2)
-                z += z2
-                np.tanh(z, out=z)
-                z[:, : 3 * n] += 1
-                c *= z[:, n : 2 * n]
-                np.multiply(z[:, :n], z[:, 3 * n :], out=t1)
-                c += t1
-                c *= 0.5
-                np.tanh(c, out=t1)
-                np.multiply(z[:, 2 * n : 3 * n], t1, out=h)
-                scores[t] += np.dot(self.out[d], h.T)
+        h, c, t1 = (np.zeros((2, windows, n), dtype=np.float32) for _ in range(3))
+        z, z2 = (np.empty((2, 4, windows, n), dtype=np.float32) for _ in range(2))
+        part = np.empty((2, TAGS, windows), dtype=np.float32)
+        i, f, o, g = (z[:, k] for k in range(4))
+        for t in range(steps):
+            for d, at in ((0, t), (1, steps - 1 - t)):
+                for k in range(4):
+                    np.take(self.inputs[d][k], ids[at], axis=0, out=z[d, k], mode="clip")
+            np.matmul(h[:, None], self.recurrent, out=z2)
+            z += z2
+            np.tanh(z, out=z)
+            z[:, :3] += 1
+            c *= f
+            np.multiply(i, g, out=t1)
+            c += t1
+            c *= 0.5
+            np.tanh(c, out=t1)
+            np.multiply(o, t1, out=h)
+            np.matmul(self.out, h.transpose(0, 2, 1), out=part)
+            scores[t] += part[0]
+            scores[steps - 1 - t] += part[1]
         return scores
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
-        """Best tag sequences (time, window); ``scores`` is overwritten with the scores of the best paths."""
+        """Best tag sequences (time, window); ``scores`` is overwritten with the scores of the best paths.
+
+        Tags that go on are entered from their own kind alone, the others from any tag.
+        """
         steps, _, windows = scores.shape
         scores[0] += self.start[:, None]
-        through = np.empty((TAGS, TAGS, windows), dtype=np.float32)
-        moves = self.transitions[:, :, None]
+        T = self.transitions
+        free, on = np.array([0, *range(1, TAGS, 2)]), np.arange(2, TAGS, 2)
+        moves, begun, going = T[:, free][:, :, None], T[on - 1, on][:, None], T[on, on][:, None]
+        through = np.empty((TAGS, len(free), windows), dtype=np.float32)
+        a, b = (np.empty((len(on), windows), dtype=np.float32) for _ in range(2))
         for t in range(1, steps):
-            np.add(scores[t - 1][:, None, :], moves, out=through)
-            scores[t] += through.max(axis=0)
+            last, now = scores[t - 1], scores[t]
+            np.add(last[:, None, :], moves, out=through)
+            best = through.max(axis=0)
+            now[0] += best[0]
+            now[1::2] += best[1:]
+            np.add(last[1::2], begun, out=a)
+            np.add(last[2::2], going, out=b)
+            np.maximum(a, b, out=a)
+            now[2::2] += a
+        only = np.where(np.isin(np.arange(TAGS), free)[None, :], T, -np.inf)
+        only[on - 1, on], only[on, on] = T[on - 1, on], T[on, on]
         tags = np.empty((steps, windows), dtype=np.int8)
         tags[-1] = scores[-1].argmax(axis=0)
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = (scores[t - 1] + self.transitions[:, tags[t]]).argmax(axis=0)
+            tags[t - 1] = (scores[t - 1] + only[:, tags[t]]).argmax(axis=0)
         return tags
 
     def spans(self, text: str, windows_at_once: int = 1024) -> list[tuple[int, int, int]]:
