@@ -86,14 +86,14 @@ def mix_documents(tokens: DataFrame, targets: DataFrame, block_tokens: int = 102
     """The mixes as rows (mix_name, slot, source, block, repeat, doc_id, tokens, start), in order of slot and start.
 
     ``tokens`` has (doc_id, source, tokens), ``targets`` the rows of mix_targets. A document is in the block in which it
-    starts. What the mix takes of a source are the first documents of its stream, and the largest later one that the rest has room
-    for. Texts without tokens are not used. A
+    starts. What the mix takes of a source are the first documents of its stream, and up to three later ones, each the largest that the
+    rest has room for. Texts without tokens are not used. A
     document occurs at most max_repeats times in a mix.
     """
     return _mix(tokens, targets, block_tokens)[0]
 
 
-def _mix(tokens: DataFrame, targets: DataFrame, block_tokens: int) -> tuple[DataFrame, DataFrame]:
+def _mix(tokens: DataFrame, targets: DataFrame, block_tokens: int, fills: int = 3) -> tuple[DataFrame, DataFrame]:
     spark = tokens.sparkSession
     listed = small_rows(targets.select("mix_name", "source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")))
     sources = sorted({r["source"] for r in listed if r["source"] is not None})
@@ -105,13 +105,20 @@ def _mix(tokens: DataFrame, targets: DataFrame, block_tokens: int) -> tuple[Data
     offset = F.col("start") + (F.col("repeat") - 1) * F.col("supply")
     stream = source_stream(used).join(wanted, "source").withColumn("start", offset).where("repeat <= max_repeats")
     whole = stream.where("start + tokens <= take")
-    # What the documents that lie wholly within the amount leave open goes to the largest later one that fits.
+    # What the documents that lie wholly within the amount leave open goes to the largest later ones that fit, one by one.
     key = ["mix_name", "source"]
-    gap = plan.where("take > 0").select(*key, "take").join(whole.groupBy(*key).agg(F.sum("tokens").alias("taken")), key, "left").select(*key, F.coalesce("taken", F.lit(0)).alias("taken"), (F.col("take") - F.coalesce("taken", F.lit(0))).alias("gap"))
-    later = stream.where("start + tokens > take").join(gap, key).where("tokens <= gap")
-    last = later.groupBy(*key).agg(F.max(F.struct("tokens", "repeat", "doc_id", "taken")).alias("x")).select(*key, "x.*").join(plan, key)
-    columns = [*key, "repeat", "doc_id", "tokens", "start", "per_period", "period", "slots"]
-    rows = whole.select(*columns).unionByName(last.withColumn("start", F.col("taken")).select(*columns)).withColumn("block", F.floor(F.col("start") / block_tokens))
+    zero = F.lit(0).cast("long")
+    gap = plan.where("take > 0").select(*key, "take").join(whole.groupBy(*key).agg(F.sum("tokens").alias("taken")), key, "left").select(*key, F.coalesce("taken", zero).alias("taken"), (F.col("take") - F.coalesce("taken", zero)).alias("gap"))
+    later = stream.where("start + tokens > take").select(*key, "repeat", "doc_id", "tokens")
+    columns = [*key, "repeat", "doc_id", "tokens", "start"]
+    rows = whole.select(*columns)
+    for _ in range(fills):
+        found = later.join(gap, key).where("tokens <= gap").groupBy(*key).agg(F.max(F.struct("tokens", "repeat", "doc_id", "taken", "gap")).alias("x")).select(*key, "x.*")
+        last = cut(found)  # one row per mix and source
+        rows = rows.unionByName(last.withColumn("start", F.col("taken")).select(*columns))
+        later = later.join(last.select(*key, "repeat", "doc_id"), [*key, "repeat", "doc_id"], "left_anti")
+        gap = last.select(*key, (F.col("taken") + F.col("tokens")).alias("taken"), (F.col("gap") - F.col("tokens")).alias("gap"))
+    rows = rows.join(plan.select(*key, "per_period", "period", "slots"), key).withColumn("block", F.floor(F.col("start") / block_tokens))
     slot = F.floor(F.col("block") / F.col("per_period")) * F.col("period") + F.element_at("slots", (F.col("block") % F.col("per_period") + 1).cast("int"))
     return rows.select("mix_name", slot.alias("slot"), "source", "block", "repeat", "doc_id", "tokens", "start"), plan
 

@@ -33,13 +33,27 @@ def text_spans(texts: list[str]) -> Iterator[tuple[int, int, int, str]]:
         for a, b, kind in tagger.spans(_JOIN.join(part)):
             k = int(np.searchsorted(offsets, a, side="right")) - 1
             text = part[k]
-            a, b = a - int(offsets[k]), min(b - int(offsets[k]), len(text))
-            a, b = exact_edges(text, a, b, KINDS[kind])
-            if b > a:
-                yield begin + k, a, b, KINDS[kind]
+            for a, b in single_pieces(text, a - int(offsets[k]), min(b - int(offsets[k]), len(text)), KINDS[kind]):
+                a, b = exact_edges(text, a, b, KINDS[kind])
+                if b > a:
+                    yield begin + k, a, b, KINDS[kind]
         begin = end
 
 
+def single_pieces(text: str, a: int, b: int, kind: str) -> list[tuple[int, int]]:
+    """The span, or its parts if it holds several e-mail addresses one after the other."""
+    marks = [m.start() for m in re.finditer("[@＠]", text[a:b])] if kind == "email" else []
+    if len(marks) < 2:
+        return [(a, b)]
+    cuts = []
+    for x, y in zip(marks, marks[1:]):
+        gap = re.search(r"\s+(?=[^\s@＠]+\s?$)", text[a + x : a + y])
+        if gap:
+            cuts.append(a + x + gap.end())
+    edges = [a, *cuts, b]
+    return list(zip(edges, edges[1:]))
+
+
 def exact_edges(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
     """The span without blanks and marks at its edges, widened to whole words; (a, a) if nothing fitting its kind is left."""
     while a < b and text[a] in _EDGE_LEFT:

@@ -21,6 +21,12 @@ def test_long_texts_are_tagged_whole():
     assert {k for k, *_ in found} == {0, 1}
 
 
+def test_neighbouring_addresses_are_parted():
+    text = "a@b.example c+d @ e.example f@g.test"
+    parts = pii.single_pieces(text, 0, len(text), "email")
+    assert [text[slice(*pii.exact_edges(text, a, b, "email"))] for a, b in parts] == ["a@b.example", "c+d @ e.example", "f@g.test"]
+
+
 def test_reconciling():
     assert pii_model.reconcile([(5, 9, 0), (1, 3, 1), (1, 3, 1), (4, 12, 2), (12, 13, 0), (7, 7, 1)]) == [(1, 3, 1), (4, 12, 2), (12, 13, 0)]
 
