@@ -16,6 +16,7 @@ from fablespark.operators import chunking as ck
 from fablespark.operators import entities as en
 from fablespark.operators import extraction as ex
 from fablespark.operators import mentions as mn
+from fablespark.operators import profiles as pf
 from fablespark.operators import retrieval as rt
 from fablespark.operators import scenes as sc
 from fablespark.params import ChunkProfile, SceneProfile
@@ -719,3 +720,37 @@ def pending_chapters(spark: SparkSession, d: str) -> DataFrame:
     """Chapters that have no scenes yet."""
     done = table(spark, d, "scenes").selectExpr("book_number AS book_num", "chapter_number AS chapter_num")
     return ingest.pending(_chapters(spark, d), done, BOOK).select(*BOOK)
+
+
+# --- Profiles -----------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH {CHUNKS}, r AS (SELECT book_number, chapter_number, coalesce(token_count, 0) AS n, floor((row_number() OVER (PARTITION BY book_number, chapter_number ORDER BY chunk_id) - 1) / 32)::BIGINT AS b FROM chunk),
+    p AS (SELECT book_number, chapter_number, b, count(*) AS texts, sum(n)::BIGINT AS tokens, max(n) AS most FROM r GROUP BY ALL)
+    SELECT book_number, chapter_number, b AS batch, texts, tokens, most, round(sum(tokens) OVER w / sum(texts) OVER w, 6) AS running_avg FROM p WINDOW w AS (PARTITION BY book_number, chapter_number ORDER BY b)""")
+def token_accounting(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the embedding batches of each chapter."""
+    return pf.token_accounting(pf.require_fields(_chunks(spark, d), ["chunk_id", "token_count"]), ["book_number", "chapter_number"], "chunk_id")
+
+
+@query(f"WITH {_HITS} SELECT chunk_id, array_to_string(list_sort(list(DISTINCT n)), '|') AS tags FROM hit GROUP BY ALL")
+def chunk_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that each chunk mentions."""
+    return pf.chunk_tags(_hits(spark, d), "chunk_id", "name").withColumn("tags", F.array_join("tags", "|"))
+
+
+@query()
+def entity_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters, aliases and closest companions of each entity."""
+    named = F.concat_ws("/", F.col("book_num").cast("string"), tx.normalise("name"))
+    return pf.entity_profiles(_entities(spark, d).withColumn("entity", named), co_occurrence(spark, d), ["book_num"], "entity")
+
+
+@query(f"""
+    WITH {CHAPTERS}, p AS (SELECT book_num, chapter_num, unnest(paragraphs) AS x, generate_subscripts(paragraphs, 1) - 1 AS i FROM chapter),
+    l AS (SELECT *, list_filter(string_split(x, chr(10)), lambda y: trim(y, {BLANK}) <> '') AS lines FROM p WHERE x IS NOT NULL)
+    SELECT book_num, chapter_num, i::INT AS position, md5(x) AS paragraph FROM l WHERE NOT (len(lines) >= 3 AND coalesce(list_max(list_transform(lines, lambda y: length(y))), 0) <= 60)""")
+def without_songs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs that are not verse."""
+    return pf.without_songs(ch.paragraph_rows(_chapters(spark, d), BOOK), BOOK).withColumn("paragraph", F.md5("paragraph"))

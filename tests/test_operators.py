@@ -254,3 +254,17 @@ def test_retrieval(spark):
 
 def test_parameters_are_shown():
     assert "min_chars: 1000" in describe(Params())
+
+
+def test_profiles(spark):
+    import pytest
+
+    from fablespark.operators import profiles as pf
+
+    df = spark.createDataFrame([(1, "a")], "k int, t string")
+    assert pf.require_fields(df, ["k"]) is df
+    with pytest.raises(ValueError):
+        pf.require_fields(df, ["x"])
+    assert pf.chapter_summaries(df, ["k"], lambda: len, "t").columns == ["k", "summary", "error"]
+    p = spark.createDataFrame([(1, 0, "la\nli\nlo"), (1, 1, "prose " * 30)], "k int, position int, paragraph string")
+    assert [r["position"] for r in pf.without_songs(p, ["k"]).collect()] == [1]
