@@ -162,8 +162,13 @@ def compare(a: str, b: str) -> float | str:
     return UNLIKE
 
 
+def _stems(short: str) -> list[str]:
+    """A token without each of its short-form endings, of two letters or more."""
+    return [short[: -len(end)] for end in SHORT_FORM_ENDS if len(short) - len(end) >= 2 and short.endswith(end)]
+
+
 def _short_form(short: str, name: str) -> bool:
-    return any(len(short) - len(end) >= 2 and short.endswith(end) and name.startswith(short[: -len(end)]) for end in SHORT_FORM_ENDS)
+    return any(name.startswith(stem) for stem in _stems(short))
 
 
 def align(known: tuple[str, str], other: tuple[str, str]) -> float | str:
@@ -175,7 +180,7 @@ def align(known: tuple[str, str], other: tuple[str, str]) -> float | str:
         if f == UNLIKE:
             continue
         g = compare(known[0], given)
-        if g == UNLIKE and (_short_form(given, known[0]) or _short_form(known[0], given)):
+        if g in (UNLIKE, 2.0) and (_short_form(given, known[0]) or _short_form(known[0], given)):
             g = 1.0
         if g == NAMESAKE:
             best = NAMESAKE if best == UNLIKE else best
@@ -192,7 +197,7 @@ def align_single(known: tuple[str, str], token: str, prefix: str) -> float | str
             continue
         cost = compare(part, token)
         cost = 1.0 if cost == NAMESAKE and part == known[1] else cost
-        if cost == UNLIKE and not prefix and _short_form(token, part):
+        if cost in (UNLIKE, 2.0) and not prefix and _short_form(token, part):
             cost = 1.5
         if not isinstance(cost, str) and cost <= 1.5 and (isinstance(best, str) or cost < best):
             best = cost
@@ -215,15 +220,16 @@ def index_keys(kind: str, first: str, second: str, prefix: str) -> tuple[list[st
     if kind == "full":
         a, b = sorted((fold(first), fold(second)))
         pair = {f"{x}+{b}" for x in deletes(a, 2)} | {f"{a}+{y}" for y in deletes(b, 2)} | {f"{x}+{y}" for x in deletes(a, 1) for y in deletes(b, 1)}
-        part = {x for t in (a, b) for x in deletes(t, 1)} | ({f"={prefix}"} if prefix else set())
+        begun = {f"{t[:n]}~" for t in (first, second) for n in range(2, len(t) + 1)}  # short forms meet the names that begin with their stem
+        part = {x for t in (a, b) for x in deletes(t, 1)} | begun | ({f"={prefix}"} if prefix else set())
         return sorted(pair), sorted(part)
     if kind == "single":
-        return [], sorted(deletes(fold(first), 1))
+        return [], sorted(deletes(fold(first), 1) | (set() if prefix else {f"{stem}~" for stem in _stems(first)}))
     return [], [f"={first}"] if kind == "acronym" else []
 
 
 def _short_full(kind: str, first: str, second: str) -> bool:
-    return kind == "full" and any(t.endswith(SHORT_FORM_ENDS) and len(t) <= 7 for t in (first, second))
+    return kind == "full" and any(_stems(t) for t in (first, second))
 
 
 _PARSED = "book_num int, entity_type string, text string, node string, kind string, first string, second string, prefix string, partial boolean, pair_keys array<string>, part_keys array<string>"

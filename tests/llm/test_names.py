@@ -88,3 +88,17 @@ def test_books_types_nulls_and_repeats(spark):
     df = spark.createDataFrame(rows, ENTITY)
     assert [tuple(r) for r in nm.name_pairs(df).collect()] == [(1, "character", "Ana  Bellow", "Ana Bellow")]
     assert nm.name_pairs(spark.createDataFrame([], ENTITY)).count() == 0
+
+
+def test_short_forms_meet_their_full_names(spark):
+    assert linked(spark, "character", "Bemkin", "Bemick Copperwick", "Alder Thornby") == {("Bemick Copperwick", "Bemkin")}
+    assert linked(spark, "character", "Bemkin", "Bemick Copperwick", "Bemett Yarrow") == set()  # either's
+    assert linked(spark, "character", "Bartholomkin Yarrow", "Bartholomew Yarrow") == {("Bartholomew Yarrow", "Bartholomkin Yarrow")}
+
+
+@given(st.text("abk", min_size=2, max_size=6), st.sampled_from(nm.SHORT_FORM_ENDS), st.text("abk", min_size=2, max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_the_index_finds_all_short_forms(stem, end, name):
+    single, full = ("single", stem + end, "", ""), ("full", name, "millwell", "")
+    if nm.align_single(full[1:3], single[1], "") != nm.UNLIKE:
+        assert set(nm.index_keys(*single)[1]) & set(nm.index_keys(*full)[1])
