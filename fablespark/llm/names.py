@@ -210,21 +210,33 @@ def align_single(known: tuple[str, str], token: str, prefix: str) -> float | str
 def deletes(token: str, most: int) -> set[str]:
     """A token with up to ``most`` letters left out."""
     found = {token}
-    for k in range(1, min(most, len(token) - 2) + 1):
+    for k in range(1, min(most, len(token) - 1) + 1):
         found |= {"".join(token[i] for i in keep) for keep in combinations(range(len(token)), len(token) - k)}
     return found
 
 
+def _spelt(token: str) -> set[str]:
+    """A token folded, with and without its letter groups: an edit inside a group shows in the second only."""
+    return {fold(token), token.translate(BY_EAR)}
+
+
 def index_keys(kind: str, first: str, second: str, prefix: str) -> tuple[list[str], list[str]]:
     """(keys under which two full spellings meet, keys under which a partial spelling meets full ones)."""
     if kind == "full":
-        a, b = sorted((fold(first), fold(second)))
-        pair = {f"{x}+{b}" for x in deletes(a, 2)} | {f"{a}+{y}" for y in deletes(b, 2)} | {f"{x}+{y}" for x in deletes(a, 1) for y in deletes(b, 1)}
+        # Parts are put in order after the deletion: an edit may change which of the whole parts comes first.
+        pair = {
+            "+".join(sorted((x, y)))
+            for a in _spelt(first)
+            for b in _spelt(second)
+            for m, n in ((2, 0), (0, 2), (1, 1))
+            for x in deletes(a, m)
+            for y in deletes(b, n)
+        }
         begun = {f"{t[:n]}~" for t in (first, second) for n in range(2, len(t) + 1)}  # short forms meet the names that begin with their stem
-        part = {x for t in (a, b) for x in deletes(t, 1)} | begun | ({f"={prefix}"} if prefix else set())
+        part = {x for t in _spelt(first) | _spelt(second) for x in deletes(t, 1)} | begun | ({f"={prefix}"} if prefix else set())
         return sorted(pair), sorted(part)
     if kind == "single":
-        return [], sorted(deletes(fold(first), 1) | (set() if prefix else {f"{stem}~" for stem in _stems(first)}))
+        return [], sorted({x for t in _spelt(first) for x in deletes(t, 1)} | (set() if prefix else {f"{stem}~" for stem in _stems(first)}))
     return [], [f"={first}"] if kind == "acronym" else []
 
 

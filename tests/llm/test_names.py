@@ -102,3 +102,29 @@ def test_the_index_finds_all_short_forms(stem, end, name):
     single, full = ("single", stem + end, "", ""), ("full", name, "millwell", "")
     if nm.align_single(full[1:3], single[1], "") != nm.UNLIKE:
         assert set(nm.index_keys(*single)[1]) & set(nm.index_keys(*full)[1])
+
+
+def test_an_edit_that_changes_the_order_of_the_parts():
+    a, b = (nm.index_keys("full", given, "millwell", "")[0] for given in ("marbador", "mqrbador"))
+    assert set(a) & set(b)
+
+
+def edited(rng, token):
+    k = rng.randrange(len(token))
+    c = rng.choice("aeknorq")
+    return rng.choice([token[:k] + token[k + 1 :], token[:k] + c + token[k:], token[:k] + c + token[k + 1 :], token[:k] + token[k : k + 2][::-1] + token[k + 2 :]])
+
+
+def test_the_index_finds_all_two_part_names_that_align():
+    rng, tried = random.Random(2), 0
+    for _ in range(4000):
+        a = tuple("".join(rng.choice("aeknorq") for _ in range(rng.randint(2, 7))) for _ in range(2))
+        b = list(a)
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randrange(2)
+            b[k] = edited(rng, b[k])
+        costs = [[nm.compare(x, y) for x, y in zip(a, c)] for c in (b, b[::-1])]
+        if min(map(len, b)) > 1 and any(nm.UNLIKE not in c and sum(1.0 if x == nm.NAMESAKE else x for x in c) <= 2.5 for c in costs):
+            tried += 1
+            assert set(nm.index_keys("full", *a, "")[0]) & set(nm.index_keys("full", *b, "")[0]), (a, b)
+    assert tried > 1000
