@@ -26,6 +26,18 @@ def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "em
     return rank_hits(scored.where("score IS NOT NULL"), k, chunk_id)
 
 
+def embed_texts(texts: DataFrame, factory: Callable, text: str, vector: str) -> DataFrame:
+    """The rows with the vector of their whole text; the model has ``embed`` and is made once per task."""
+
+    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        for batch in batches:
+            yield batch.assign(**{vector: list(model.embed(batch[text].tolist()))})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return texts.mapInPandas(embed, f"{schema}, `{vector}` array<double>")
+
+
 def rank_hits(scored: DataFrame, k: int, chunk_id: str) -> DataFrame:
     """The k best of each query, ties by chunk; the limit on the rank is pushed below the shuffle by the planner."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), chunk_id)

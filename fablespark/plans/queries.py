@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -589,8 +590,12 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
     return rt.dense_top_k(e, e.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector"), 10)
 
 
+def _figure_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "story_figures").selectExpr("figure_id AS query_id", "figure_name AS query")
+
+
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return rt.bm25_top_k(_chunks(spark, d), table(spark, d, "story_figures").selectExpr("figure_id AS query_id", "figure_name AS query"), 10)
+    return rt.bm25_top_k(_chunks(spark, d), _figure_queries(spark, d), 10)
 
 
 @query(f"WITH {_DENSE} SELECT * FROM dense")
@@ -616,6 +621,15 @@ def hybrid_top_k(spark: SparkSession, d: str) -> DataFrame:
     return rt.fuse([lexical, rt.rank_hits(sized, 10, "chunk_id")], "chunk_id", 5)
 
 
+@query()
+def dense_hybrid_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """Rankings of all chunks by words and by vectors of their whole texts, fused."""
+    texts, asked = _chunks(spark, d).where("text IS NOT NULL").select("chunk_id", "text"), _figure_queries(spark, d).where("query IS NOT NULL")
+    vectors = rt.embed_texts(texts, lambda: create("hashed", max_tokens=sys.maxsize), "text", "embedding")
+    wanted = rt.embed_texts(asked, lambda: create("hashed", max_tokens=sys.maxsize), "query", "query_vector")
+    return rt.fuse([rt.bm25_top_k(texts, asked, 10), rt.dense_top_k(vectors, wanted, 10, chunk_id="chunk_id")], "chunk_id", 5)
+
+
 @query(f"""
     WITH {_DENSE}, o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INT AS place FROM embeddings), h AS (SELECT DISTINCT query_id, label, place FROM dense JOIN o USING (vec_id))
     SELECT DISTINCT h.query_id, o.label, o.place, o.vec_id FROM h JOIN o ON o.label = h.label AND o.place BETWEEN h.place - 1 AND h.place + 1""")
