@@ -79,6 +79,12 @@ def word_distribution(rows: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], time: str = "ingested_at") -> DataFrame:
-    """One row per key: the one that was delivered last, and of those the greatest by all columns that can be ordered."""
+    """One row per key: the one that was delivered last, and of those the greatest by all columns that can be ordered.
+
+    Rows are few to a key, so they are shuffled as they are and aggregated once; a fixed number of partitions keeps what follows on
+    long texts spread over all cores. Columns that are not needed are best left out of ``df``.
+    """
     rest = [c for c in df.columns if c not in (*keys, time)]
-    return df.groupBy(*keys).agg(F.max(F.struct(time, *rest)).alias("row")).select(*keys, *[F.col(f"row.{c}").alias(c) for c in (time, *rest)]).select(*df.columns)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(parts, *keys)
+    return rows.groupBy(*keys).agg(F.max(F.struct(time, *rest)).alias("row")).select(*keys, *[F.col(f"row.{c}").alias(c) for c in (time, *rest)]).select(*df.columns)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fablespark.functions.vectors import cosine
 from fablespark.operators.mentions import text_words
 from fablespark.runtime import cut, small_rows
 
@@ -16,14 +17,36 @@ from fablespark.runtime import cut, small_rows
 def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", chunk_id: str = "vec_id") -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k most similar chunks for each query (query_id, query_vector).
 
-    The queries are a stated set of checked size that goes to every task; each task keeps k chunks per query before the shuffle.
+    The queries are a stated set of checked size that goes to every task. Each batch of chunks meets them in one matrix product and keeps its k
+    best per query, and all that tie with the last of these, before the shuffle. Null vectors, those of another length and
+    those without direction have no similarity.
     """
     stated = small_rows(queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v")))
-    if not stated:
-        return chunks.select(F.lit(None).cast("long").alias("query_id"), chunk_id, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    literal = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["v"]).alias("v")) for r in stated])
-    scored = chunks.select(chunk_id, vector, F.explode(literal).alias("q")).select(F.col("q.query_id").alias("query_id"), chunk_id, F.round(cosine(F.col(vector), F.col("q.v")), 6).alias("score"))
-    return rank_hits(scored.where("score IS NOT NULL"), k, chunk_id)
+    asked = [(r["query_id"], np.array(r["v"])) for r in stated if r["v"] and any(r["v"])]
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{chunk_id}` {chunks.schema[chunk_id].dataType.simpleString()}, score double"
+    if not asked:
+        return rank_hits(chunks.sparkSession.createDataFrame([], kinds), k, chunk_id)
+    blocks = {n: ([q for q, v in asked if len(v) == n], np.stack([v / np.linalg.norm(v) for _, v in asked if len(v) == n], axis=1)) for n in {len(v) for _, v in asked}}
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+            for n, (ids, unit) in blocks.items():
+                own = np.flatnonzero(sizes == n)
+                if not len(own):
+                    continue
+                matrix = np.stack(batch["v"].to_numpy()[own])
+                length = np.linalg.norm(matrix, axis=1)
+                own, matrix, length = own[length > 0], matrix[length > 0], length[length > 0]
+                if not len(own):
+                    continue
+                scores = np.round((matrix / length[:, None]) @ unit, 6)
+                least = np.partition(scores, max(0, len(own) - k), axis=0)[max(0, len(own) - k)]
+                row, query = np.nonzero(scores >= least)
+                yield pd.DataFrame({"query_id": [ids[q] for q in query], chunk_id: batch[chunk_id].to_numpy()[own[row]], "score": scores[row, query]})
+
+    rows = chunks.select(chunk_id, F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    return rank_hits(rows.mapInPandas(score, kinds), k, chunk_id)
 
 
 def embed_texts(texts: DataFrame, factory: Callable, text: str, vector: str) -> DataFrame:
@@ -55,14 +78,17 @@ def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 def bm25_top_k(texts: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, rank) by BM25 for queries (query_id, query); texts without a word of the query are not ranked."""
     rows = texts.where(F.col("text").isNotNull()).select(key, "text").dropDuplicates([key])
-    index = postings(rows, key)
-    size = rows.select(F.size(F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).head()
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
+    listed = rows.select(key, words.alias("w")).select(key, F.size("w").alias("length"), "w")
+    size = listed.agg(F.count("*").cast("double").alias("docs"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
+    docs, mean = size.select("docs").scalar(), size.select("mean").scalar()
     asked = text_words(queries, ["query_id"], "query")
-    hits = index.join(asked, "word")
-    frequency = index.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(size["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(size["mean"] or 1.0)))
-    scored = hits.join(frequency, "word").groupBy("query_id", key).agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
+    # Only words that are asked for become postings.
+    index = listed.select(key, "length", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", key, "length").agg(F.count("*").alias("tf"))
+    frequency = index.groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / mean)
+    scored = index.join(asked, "word").join(frequency, "word").groupBy("query_id", key).agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
     return rank_hits(scored, k, key)
 
 
@@ -122,20 +148,19 @@ def retrieval_metrics(ranking: DataFrame, relevant: DataFrame, key: str, k: int)
     return out.select("query_id", zero(F.col("h") / F.col("n")).alias("recall"), zero(F.col("h") / F.lit(k)).alias("precision"), zero(1 / F.col("first")).alias("reciprocal_rank"), zero(F.col("gain") / ideal).alias("ndcg"))
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, most_steps: int = 50) -> DataFrame:
-    """(node, steps) of the nodes that edges (src, dst) lead to from the start nodes, with the fewest edges.
+def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, steps) of all nodes that edges (src, dst) lead to from the start nodes, with the fewest edges.
 
-    Breadth first: each step joins only the nodes that were reached last and is checkpointed.
+    Breadth first until nothing new is reached: each step joins only the nodes that were reached last and is checkpointed.
     """
     reached = cut(start.select(F.col("node"), F.lit(0).alias("steps")).distinct())
     front = reached
-    for step in range(1, most_steps + 1):
+    for step in count(1):
         found = edges.join(front, edges["src"] == front["node"]).select(F.col("dst").alias("node")).distinct()
         front = cut(found.join(reached, "node", "left_anti").withColumn("steps", F.lit(step)))
         if front.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(front)
-    return reached
 
 
 def theme_index(texts: DataFrame, key: str, themes: dict[str, list[str]]) -> DataFrame:

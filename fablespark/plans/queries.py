@@ -12,6 +12,7 @@ from fablespark.backends.models import create
 from fablespark.functions import formatting, jsonfix
 from fablespark.functions import text as tx
 from fablespark.functions.html import html_paragraphs
+from fablespark.functions.vectors import word_counts_vector
 from fablespark.operators import chapters as ch
 from fablespark.operators import chunking as ck
 from fablespark.operators import entities as en
@@ -64,8 +65,10 @@ def _chapters(spark: SparkSession, d: str) -> DataFrame:
     return ch.latest(table(spark, d, "chapters"), BOOK)
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return ch.latest(table(spark, d, "book_chunks"), ["chunk_id"])
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The chunks as last delivered; named columns alone are read."""
+    rows = table(spark, d, "book_chunks")
+    return ch.latest(rows.select(*dict.fromkeys(["chunk_id", "ingested_at", *columns])) if columns else rows, ["chunk_id"])
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +194,7 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     SELECT book_number, chapter_number, g::BIGINT AS "group", count(*) AS chunks, sum(coalesce(token_count, 0))::BIGINT AS tokens, md5(string_agg(coalesce(text, ''), ' ' ORDER BY chunk_id)) AS text FROM h GROUP BY ALL""")
 def tiny_merge(spark: SparkSession, d: str) -> DataFrame:
     """Chunks below 150 tokens joined to the one before."""
-    return ck.merge_tiny(_chunks(spark, d), ["book_number", "chapter_number"], "chunk_id", "token_count", "text", 150).withColumn("text", F.md5("text"))
+    return ck.merge_tiny(_chunks(spark, d, "book_number", "chapter_number", "token_count", "text"), ["book_number", "chapter_number"], "chunk_id", "token_count", "text", 150).withColumn("text", F.md5("text"))
 
 
 @query(f"""
@@ -200,14 +203,14 @@ def tiny_merge(spark: SparkSession, d: str) -> DataFrame:
     FROM chunk GROUP BY ROLLUP (book_number, chapter_number)""")
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the chunks per chapter, per book and in total."""
-    return ck.chunk_stats(_chunks(spark, d))
+    return ck.chunk_stats(_chunks(spark, d, "book_number", "chapter_number", "text", "token_count"))
 
 
 @query(f"""
     WITH {CHUNKS} SELECT book_number, chapter_number, chunk_id, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM chunk WINDOW w AS (PARTITION BY book_number, chapter_number ORDER BY chunk_index, chunk_id)""")
 def chunk_links(spark: SparkSession, d: str) -> DataFrame:
     """The chunks before and after each chunk."""
-    return ck.link_neighbours(_chunks(spark, d), ["book_number", "chapter_number"], ["chunk_index", "chunk_id"])
+    return ck.link_neighbours(_chunks(spark, d, "book_number", "chapter_number", "chunk_index"), ["book_number", "chapter_number"], ["chunk_index", "chunk_id"])
 
 
 @query(f"""
@@ -215,7 +218,7 @@ def chunk_links(spark: SparkSession, d: str) -> DataFrame:
     SELECT * FROM t WHERE third_chunk_id IS NOT NULL""")
 def chunk_triples(spark: SparkSession, d: str) -> DataFrame:
     """Each chunk with the two after it."""
-    return sc.chunk_triples(_chunks(spark, d), ["book_number", "chapter_number"], ["chunk_index", "chunk_id"], ["chunk_id"])
+    return sc.chunk_triples(_chunks(spark, d, "book_number", "chapter_number", "chunk_index"), ["book_number", "chapter_number"], ["chunk_index", "chunk_id"], ["chunk_id"])
 
 
 @query(f"""
@@ -226,7 +229,7 @@ def chunk_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
     w = Window.partitionBy("book_number", "chapter_number")
     made = tx.chunk_id(F.col("book_number"), F.col("chapter_number"), F.col("chunk_index"))
-    return _chunks(spark, d).select("chunk_id", made.alias("made"), F.row_number().over(w.orderBy("chunk_id")).alias("place"), F.count("*").over(w).alias("total"))
+    return _chunks(spark, d, "book_number", "chapter_number", "chunk_index").select("chunk_id", made.alias("made"), F.row_number().over(w.orderBy("chunk_id")).alias("place"), F.count("*").over(w).alias("total"))
 
 
 # --- Scenes ---------------------------------------------------------------------------------------------------------------------------
@@ -323,7 +326,7 @@ def model_scenes(spark: SparkSession, d: str) -> DataFrame:
     keys = ["book_number", "chapter_number"]
     from pyspark.sql import Window
 
-    rows = _chunks(spark, d).select(*keys, "chunk_id", "text", "token_count")
+    rows = _chunks(spark, d, *keys, "text", "token_count").select(*keys, "chunk_id", "text", "token_count")
     following = F.lead("text").over(Window.partitionBy(*keys).orderBy("chunk_id"))
     prompt = F.concat(F.lit("CHUNK "), tx.preview(F.col("text")), F.lit(" CHUNK "), tx.preview(following))
     asked = ex.call_model(rows.withColumn("prompt", prompt), lambda: create("same scene"))
@@ -341,7 +344,7 @@ _HITS = rf"""{CHUNKS}, {NAMED}, {_TERMS}, w AS (SELECT book_number, chapter_numb
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d).where("text IS NOT NULL").select(F.col("book_number").alias("book_num"), "chapter_number", "chunk_id", "text")
+    chunks = _chunks(spark, d, "book_number", "chapter_number", "text").where("text IS NOT NULL").select(F.col("book_number").alias("book_num"), "chapter_number", "chunk_id", "text")
     entities = _entities(spark, d).withColumn("name", tx.normalise("name"))
     return mn.entities_in_texts(chunks, ["chapter_number", "chunk_id"], entities, ["book_num", "entity_type", "name"], ["book_num"])
 
@@ -411,8 +414,7 @@ def spoiler_filter(spark: SparkSession, d: str) -> DataFrame:
     SELECT t.book_num, t.chapter_num, count(DISTINCT (entity_type, name)) AS known FROM t JOIN a ON a.book_num = t.book_num AND a.c < t.chapter_num GROUP BY ALL""")
 def known_before(spark: SparkSession, d: str) -> DataFrame:
     """Entities of earlier chapters that each chapter can build on."""
-    e = _entities(spark, d)
-    return mn.seen_before(e, e).groupBy(*BOOK).agg(F.count("*").alias("known"))
+    return mn.known_counts(_entities(spark, d))
 
 
 @query(f"WITH {NAMED} SELECT book_num, entity_type, name, string_agg(chapter_num || ':' || mention_id, ',' ORDER BY chapter_num, mention_id) AS states FROM named GROUP BY ALL")
@@ -422,11 +424,24 @@ def entity_timeline(spark: SparkSession, d: str) -> DataFrame:
     return mn.timeline(_entities(spark, d), ["book_num", "entity_type", "name"]).withColumn("states", states)
 
 
-@query()
+_CHAPTER_HITS = rf"""{CHAPTERS}, {NAMED}, pt AS (SELECT DISTINCT book_num, entity_type, name, lower(trim(s, {BLANK})) AS t FROM (SELECT *, unnest(list_append(coalesce(aliases, []), name)) AS s FROM named) WHERE trim(s, {BLANK}) <> ''),
+    ct AS (SELECT book_num, chapter_num, lower(x) AS lt, {WORDS.format("x")} AS ws FROM (SELECT *, array_to_string(paragraphs, chr(10) || chr(10)) AS x FROM chapter)),
+    told AS (SELECT DISTINCT book_num, chapter_num, entity_type, name FROM ct JOIN pt USING (book_num)
+        WHERE CASE WHEN contains(t, ' ') THEN contains(lt, t) WHEN regexp_full_match(t, '[\p{{L}}\p{{N}}_]+') THEN list_contains(ws, t) ELSE regexp_matches(lt, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(t) || '($|[^\p{{L}}\p{{N}}_])') END)"""
+
+
+@query(rf"""
+    WITH {_CHAPTER_HITS}, al AS (SELECT book_num, chapter_num AS c, entity_type, name, list_filter(list_transform(coalesce(aliases, []), lambda a: trim(a, {BLANK})), lambda a: a IS NOT NULL AND a <> '') AS al FROM named),
+    seen AS (SELECT t.book_num, t.chapter_num, entity_type, name, list_sort(list_distinct(flatten(list(al)))) AS al FROM (SELECT DISTINCT book_num, chapter_num FROM named) t JOIN al ON al.book_num = t.book_num AND c < t.chapter_num GROUP BY ALL),
+    few AS (SELECT *, row_number() OVER (PARTITION BY book_num, chapter_num, entity_type ORDER BY name) AS r FROM seen SEMI JOIN told USING (book_num, chapter_num, entity_type, name)),
+    line AS (SELECT book_num, chapter_num, entity_type, name, '- ' || name || CASE WHEN len(al) > 0 THEN ' (' || array_to_string(al[:30], ', ') || ')' ELSE '' END AS line FROM few WHERE r <= 200)
+    SELECT book_num, chapter_num, string_agg(line, chr(10) ORDER BY entity_type, name) AS context FROM line GROUP BY ALL""")
 def context_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Lines on the entities of earlier chapters, for the prompts of each chapter."""
+    """Lines on the entities of earlier chapters that a chapter mentions, for its prompts."""
     e = en.with_clean_aliases(_entities(spark, d))
-    return mn.context_sections(mn.seen_before(e, e), BOOK)
+    texts = _chapters(spark, d).select(*BOOK, F.array_join("paragraphs", "\n\n").alias("text"))
+    told = mn.entities_in_texts(texts, BOOK, _entities(spark, d), ["book_num", "entity_type", "name"], ["book_num"])
+    return mn.context_sections(mn.seen_before(e, e), BOOK, mentioned=told)
 
 
 # --- Entities ---------------------------------------------------------------------------------------------------------------------------
@@ -595,7 +610,7 @@ def _figure_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return rt.bm25_top_k(_chunks(spark, d), _figure_queries(spark, d), 10)
+    return rt.bm25_top_k(_chunks(spark, d, "text"), _figure_queries(spark, d), 10)
 
 
 @query(f"WITH {_DENSE} SELECT * FROM dense")
@@ -610,26 +625,38 @@ def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d)
 
 
-@query(f"""
-    WITH {_BM25}, len AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, chunk_id)::INT AS rank FROM (SELECT query_id, chunk_id, coalesce(token_count, 0) AS tokens FROM bm JOIN chunk USING (chunk_id))),
-    f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT query_id, chunk_id, rank FROM len) GROUP BY ALL)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM f) WHERE rank <= 5""")
-def hybrid_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """Ranking by words and by size, fused."""
-    lexical = _bm25(spark, d)
-    sized = lexical.join(_chunks(spark, d).select("chunk_id", F.coalesce("token_count", F.lit(0)).alias("score_")), "chunk_id").select("query_id", "chunk_id", F.col("score_").alias("score"))
-    return rt.fuse([lexical, rt.rank_hits(sized, 10, "chunk_id")], "chunk_id", 5)
+_WORD_VECTOR = """SELECT {id}, list(coalesce(n, 0)::DOUBLE ORDER BY b) AS v FROM (SELECT {id}, b FROM {rows}, (SELECT unnest(range(64)) AS b)) LEFT JOIN (SELECT {id}, b, count(*) AS n FROM (SELECT {id}, ('0x' || substring(md5(unnest(ws)), 1, 2))::INT % 64 AS b FROM {rows}) GROUP BY ALL) USING ({id}, b) GROUP BY {id}"""
 
 
-@query()
-def dense_hybrid_top_k(spark: SparkSession, d: str) -> DataFrame:
+@query(rf"""
+    WITH {_BM25}, asked AS (SELECT figure_id AS query_id, {WORDS.format("figure_name")} AS ws FROM story_figures WHERE figure_name IS NOT NULL), tv AS ({_WORD_VECTOR.format(id="chunk_id", rows="d")}), qv AS ({_WORD_VECTOR.format(id="query_id", rows="asked")}),
+    near AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT query_id, chunk_id, round(list_cosine_similarity(tv.v, qv.v), 6) AS score FROM tv, qv WHERE list_sum(tv.v) > 0 AND list_sum(qv.v) > 0)) WHERE rank <= 10),
+    f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT query_id, chunk_id, rank FROM near) GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM f) WHERE rank <= 5""")
+def hybrid_top_k(spark: SparkSession, d: str) -> DataFrame:
     """Rankings of all chunks by words and by vectors of their whole texts, fused."""
-    texts, asked = _chunks(spark, d).where("text IS NOT NULL").select("chunk_id", "text"), _figure_queries(spark, d).where("query IS NOT NULL")
-    vectors = rt.embed_texts(texts, lambda: create("hashed", max_tokens=sys.maxsize), "text", "embedding")
-    wanted = rt.embed_texts(asked, lambda: create("hashed", max_tokens=sys.maxsize), "query", "query_vector")
+    texts, asked = _chunks(spark, d, "text").where("text IS NOT NULL").select("chunk_id", "text"), _figure_queries(spark, d).where("query IS NOT NULL")
+    vectors = texts.select("chunk_id", word_counts_vector(F.col("text")).alias("embedding"))
+    wanted = asked.select("query_id", word_counts_vector(F.col("query")).alias("query_vector"))
     return rt.fuse([rt.bm25_top_k(texts, asked, 10), rt.dense_top_k(vectors, wanted, 10, chunk_id="chunk_id")], "chunk_id", 5)
 
 
+@query(rf"""
+    WITH {_BM25}, lc AS (SELECT query_id, 'chunks' AS layer, chunk_id AS id, rank FROM bm WHERE rank <= 5),
+    m AS (SELECT DISTINCT scene_id, unnest(chunk_ids) AS chunk_id FROM scenes), ls AS (SELECT * FROM (SELECT query_id, 'scenes' AS layer, scene_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scene_id)::INT AS rank FROM (SELECT query_id, scene_id, round(sum(score), 6) AS score FROM m JOIN bm USING (chunk_id) GROUP BY ALL)) WHERE rank <= 3),
+    lb AS (SELECT * FROM (SELECT query_id, 'chapters' AS layer, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM (SELECT query_id, book_number || '/' || chapter_number AS id, round(sum(score), 6) AS score FROM bm JOIN chunk USING (chunk_id) WHERE book_number IS NOT NULL AND chapter_number IS NOT NULL GROUP BY ALL)) WHERE rank <= 2)
+    SELECT * FROM lc UNION ALL SELECT * FROM ls UNION ALL SELECT * FROM lb""")
+def layered_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunks, scenes and chapters for each figure's name, each layer with its own number of results."""
+    hits = _bm25(spark, d)
+    members = table(spark, d, "scenes").select("scene_id", F.explode("chunk_ids").alias("chunk_id")).distinct()
+    total = F.round(F.sum("score"), 6).alias("score")
+    scenes_hit = rt.rank_hits(hits.join(members, "chunk_id").groupBy("query_id", "scene_id").agg(total), 3, "scene_id")
+    places = _chunks(spark, d, "book_number", "chapter_number").select("chunk_id", F.concat(F.col("book_number").cast("string"), F.lit("/"), F.col("chapter_number").cast("string")).alias("chapter")).where("chapter IS NOT NULL")
+    chapters_hit = rt.rank_hits(hits.join(places, "chunk_id").groupBy("query_id", "chapter").agg(total), 2, "chapter")
+    return rt.layered_top_k({"chunks": (hits, "chunk_id", 5), "scenes": (scenes_hit, "scene_id", 3), "chapters": (chapters_hit, "chapter", 2)})
+
+
 @query(f"""
     WITH {_DENSE}, o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INT AS place FROM embeddings), h AS (SELECT DISTINCT query_id, label, place FROM dense JOIN o USING (vec_id))
     SELECT DISTINCT h.query_id, o.label, o.place, o.vec_id FROM h JOIN o ON o.label = h.label AND o.place BETWEEN h.place - 1 AND h.place + 1""")
@@ -674,7 +701,7 @@ _THEMES = {"water": ["river", "ferry", "tide", "marsh", "weir"], "craft": ["mill
 @query(f"WITH {CHUNKS}, w AS (SELECT chunk_id, unnest({WORDS.format('text')}) AS word FROM chunk), t AS (SELECT unnest(['river', 'ferry', 'tide', 'marsh', 'weir', 'mill', 'bell', 'key', 'ledger', 'rope']) AS word) SELECT CASE WHEN word IN ('river', 'ferry', 'tide', 'marsh', 'weir') THEN 'water' ELSE 'craft' END AS theme, chunk_id, count(*) AS hits FROM w JOIN t USING (word) GROUP BY ALL")
 def theme_index(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by theme words."""
-    return rt.theme_index(_chunks(spark, d), "chunk_id", _THEMES)
+    return rt.theme_index(_chunks(spark, d, "text"), "chunk_id", _THEMES)
 
 
 @query(r"""
@@ -692,7 +719,7 @@ def routed(spark: SparkSession, d: str) -> DataFrame:
 def grounded(spark: SparkSession, d: str) -> DataFrame:
     """Descriptions of entities by the share of their words that the book has."""
     claims = _entities(spark, d).selectExpr("mention_id AS claim_id", "book_num", "description AS claim")
-    return rt.grounded(claims, _chunks(spark, d).selectExpr("book_number AS book_num", "text"), "book_num")
+    return rt.grounded(claims, _chunks(spark, d, "book_number", "text").selectExpr("book_number AS book_num", "text"), "book_num")
 
 
 # --- Formatting, JSON, events -------------------------------------------------------------------------------------------------------------
@@ -745,7 +772,7 @@ def pending_chapters(spark: SparkSession, d: str) -> DataFrame:
     SELECT book_number, chapter_number, b AS batch, texts, tokens, most, round(sum(tokens) OVER w / sum(texts) OVER w, 6) AS running_avg FROM p WINDOW w AS (PARTITION BY book_number, chapter_number ORDER BY b)""")
 def token_accounting(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the embedding batches of each chapter."""
-    return pf.token_accounting(pf.require_fields(_chunks(spark, d), ["chunk_id", "token_count"]), ["book_number", "chapter_number"], "chunk_id")
+    return pf.token_accounting(pf.require_fields(_chunks(spark, d, "book_number", "chapter_number", "token_count"), ["chunk_id", "token_count"]), ["book_number", "chapter_number"], "chunk_id")
 
 
 @query(f"WITH {_HITS} SELECT chunk_id, array_to_string(list_sort(list(DISTINCT n)), '|') AS tags FROM hit GROUP BY ALL")
