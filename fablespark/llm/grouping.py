@@ -7,44 +7,44 @@ tables of the rounds are composed at the end. All state is in DataFrames; the dr
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fablespark.runtime import cleaned, cut, list_or_empty
 
 
-def record_links(entities: DataFrame, matches: DataFrame, salts: int = 32) -> DataFrame:
-    """Links ``(u, v)``, u < v, between records of entities_raw.
+def record_links(entities: DataFrame, matches: DataFrame, rows_per_hub: int = 500_000) -> DataFrame:
+    """Links ``(u, v)``, u < v and perhaps repeated, between records of entities_raw.
 
     Records of one book and type that share a cleaned string (name or alias) are linked through the smallest
-    ``mention_id`` that has the string, never pair by pair: within ``salts`` sub-groups first, then between the
-    sub-groups, so that a string held by a third of all records is no single task's work. To these come the pairs
-    that ``matches`` calls ``same`` in either order.
+    ``mention_id`` that has the string, never pair by pair: within sub-groups first, then between the sub-groups. There are
+    so many sub-groups that even a string held by all records has at most about ``rows_per_hub`` in each, so no string is
+    a single task's work and no hub has more neighbours. To these come the pairs that ``matches`` calls ``same`` in either order.
 
     Null book, type or mention_id, null or blank strings, self-matches and matches with a missing or unknown id link
     nothing; repeated rows count once.
     """
     records = entities.where("mention_id IS NOT NULL").select("mention_id", "book_num", "entity_type", "name", "aliases")
+    salts = 1 + records.count() // rows_per_hub
     strings = F.concat(F.array("name"), list_or_empty(F.col("aliases")))
     keys = (
         records.where("book_num IS NOT NULL AND entity_type IS NOT NULL")
         .select("mention_id", "book_num", "entity_type", F.explode(F.array_distinct(F.transform(strings, cleaned))).alias("key"))
         .where("key IS NOT NULL")
-        .withColumn("salt", F.pmod(F.xxhash64("mention_id"), F.lit(salts)))
+        .select(F.col("mention_id").alias("a"), "book_num", "entity_type", "key", F.pmod(F.xxhash64("mention_id"), F.lit(salts)).alias("salt"))
     )
     group = ["book_num", "entity_type", "key"]
-    within = keys.select(F.col("mention_id").alias("a"), F.min("mention_id").over(Window.partitionBy(*group, "salt")).alias("b"))
-    hubs = keys.groupBy(*group, "salt").agg(F.min("mention_id").alias("a"))
-    across = hubs.select("a", F.min("a").over(Window.partitionBy(*group)).alias("b"))
+    within = keys.withColumn("b", F.min("a").over(Window.partitionBy(*group, "salt")))
+    links = within.select("a", "b")
+    if salts > 1:  # the hubs of the sub-groups
+        hubs = within.where("a = b").select("a", *group).distinct()
+        links = links.unionByName(hubs.select("a", F.min("a").over(Window.partitionBy(*group)).alias("b")))
     ids = records.select(F.col("mention_id").alias("id"))
     same = matches.where("decision = 'same' AND left_id <> right_id").select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).distinct()
     same = same.join(ids, F.col("a") == F.col("id"), "left_semi").join(ids, F.col("b") == F.col("id"), "left_semi")
-    return _proper(within.unionByName(across).unionByName(same))
-
-
-def _proper(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) with u < v of the columns a and b."""
-    return pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    return links.unionByName(same).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def _shift(vertex: Column, seed: int, beta: float) -> Column:
@@ -53,31 +53,50 @@ def _shift(vertex: Column, seed: int, beta: float) -> Column:
     return -F.log(uniform) / beta
 
 
-def _decompose(edges: DataFrame, seed: int, beta: float, depth: int) -> DataFrame:
-    """(id, centre): a vertex joins the centre c with the largest shift(c) - distance(c, vertex), within ``depth`` hops."""
-    both = edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
-    label = both.select(F.col("src").alias("id")).distinct().select("id", F.struct(_shift(F.col("id"), seed, beta).alias("value"), F.col("id").alias("centre")).alias("best"))
-    for _ in range(depth):
-        sent = both.join(label, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.struct((F.col("best.value") - 1).alias("value"), F.col("best.centre").alias("centre")).alias("best"))
-        label = label.unionByName(sent).groupBy("id").agg(F.max("best").alias("best"))
-    return label.select("id", F.col("best.centre").alias("centre"))
+def _arcs(pairs: DataFrame) -> DataFrame:
+    """(src, dst, step) of the distinct pairs (a, b) in both directions, step 1, and of every vertex to itself, step 0; lineage is cut."""
+    way = lambda a, b, n: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(n).alias("step"))
+    return cut(pairs.where("a <> b").select(F.inline(F.array(way("a", "b", 1), way("b", "a", 1), way("a", "a", 0), way("b", "b", 0)))).distinct())
+
+
+def _decompose(arcs: DataFrame, seed: int, beta: float, hops_at_once: int) -> DataFrame:
+    """(id, centre): a vertex joins the centre c with the largest shift(c) - distance(c, vertex).
+
+    Clusters grow hop by hop until no vertex changes its centre, so each reaches as far as its start time lets it; whether
+    any has changed is asked, and lineage cut, once in ``hops_at_once`` hops.
+    """
+    # The first hop needs no join: what a vertex tells its neighbours follows from its own id.
+    label = _best(arcs, _shift(F.col("src"), seed, beta), F.col("src"))
+    for hops in count(1):
+        if hops % hops_at_once == 0:
+            label = cut(label)
+            if label.where("changed").isEmpty():
+                return label.select("id", F.col("best.centre").alias("centre"))
+        label = _best(arcs.join(label.select("id", "best"), F.col("src") == F.col("id")), F.col("best.value"), F.col("best.centre"))
+
+
+def _best(arcs: DataFrame, value: Column, centre: Column) -> DataFrame:
+    """(id, best, changed): the best of what the arcs bring to each vertex, and whether that is better than what it had."""
+    brought = F.struct((value - F.col("step")).alias("value"), centre.alias("centre"))
+    merged = arcs.groupBy(F.col("dst").alias("id")).agg(F.max(brought).alias("best"), F.max(F.when(F.col("step") == 0, value)).alias("had"))
+    return merged.select("id", "best", (F.col("best.value") > F.col("had")).alias("changed"))
 
 
-def connected_groups(edges: DataFrame, beta: float = 0.06, depth: int = 3, seed: int = 11) -> DataFrame:
+def connected_groups(edges: DataFrame, beta: float = 0.1, hops_at_once: int = 4, seed: int = 11) -> DataFrame:
     """(id, group_id) for every vertex of ``edges`` (columns u, v); group_id is the smallest id of its component.
 
-    ``beta`` is the rate of the start-time shifts (about that share of the edges is left after a round), ``depth``
-    the most hops a cluster grows in a round; a cut-off cluster only needs another round. An empty edge table gives
-    an empty result. Lineage is cut each round.
+    ``beta`` is the rate of the start-time shifts: about that share of the edges is left between clusters after a round, and a
+    cluster of n vertices has a radius of about ln(n) / beta at most. Pairs may be repeated and in either order; null ids and pairs of an
+    id with itself are left out. An empty edge table gives an empty result.
     """
     tables: list[DataFrame] = []
-    current = cut(_proper(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    none = current.select(F.col("u").alias("id"), F.col("u").alias("group_id")).limit(0)
+    current = _arcs(edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    none = current.select(F.col("src").alias("id"), F.col("src").alias("group_id")).limit(0)
     while not current.isEmpty():
-        own = cut(_decompose(current, seed + len(tables), beta, depth))
+        own = _decompose(current, seed + len(tables), beta, hops_at_once)
         tables.append(own)
-        left, right = own.toDF("u", "a"), own.toDF("v", "b")
-        current = cut(_proper(current.join(left, "u").join(right, "v").select("a", "b")))
+        between = current.where("src < dst").join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst")
+        current = _arcs(between.select("a", "b"))
     if not tables:
         return none
     first = tables[0]

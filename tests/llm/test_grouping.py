@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from fablespark.llm.grouping import connected_groups, group_records, record_links
 
 ENTITY = "mention_id bigint, book_num int, entity_type string, name string, aliases array<string>, salt string, key string"
@@ -36,8 +38,17 @@ def test_groups_are_the_closure(spark):
 def test_parameters_do_not_change_the_groups(spark):
     edges = [(k, k + 1) for k in range(6)]
     df = spark.createDataFrame(edges, "u bigint, v bigint")
-    for beta, depth in ((0.5, 1), (0.05, 5)):
-        assert {r["group_id"] for r in connected_groups(df, beta=beta, depth=depth, seed=3).collect()} == {0}
+    for beta, hops in ((0.5, 1), (0.05, 5), (0.3, 2)):
+        assert {r["group_id"] for r in connected_groups(df, beta=beta, hops_at_once=hops, seed=3).collect()} == {0}
+
+
+def test_clusters_grow_as_far_as_their_start_times_allow(spark):
+    from fablespark.llm import grouping
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a bigint, b bigint")
+    shift = {r["id"]: r["s"] for r in spark.range(41).select("id", grouping._shift(F.col("id"), 5, 0.1).alias("s")).collect()}
+    centre = {r["id"]: r["centre"] for r in grouping._decompose(grouping._arcs(edges), 5, 0.1, 3).collect()}
+    assert centre == {v: max(range(41), key=lambda c: shift[c] - abs(c - v)) for v in range(41)}
 
 
 def test_empty_and_null(spark):
@@ -68,4 +79,7 @@ def test_a_hot_string_gives_few_links(spark):
     rows = [(k, 1, "c", "same", [], None, None) for k in range(2000)]
     links = record_links(spark.createDataFrame(rows, ENTITY), spark.createDataFrame([], MATCH))
     assert links.count() == 1999
+    parted = record_links(spark.createDataFrame(rows, ENTITY), spark.createDataFrame([], MATCH), rows_per_hub=100)
+    assert parted.count() == 1999 and max(r["count"] for r in parted.groupBy("u").count().collect()) < 300
+    assert {r["group_id"] for r in connected_groups(parted).collect()} == {0}
     assert {r["group_id"] for r in connected_groups(links).collect()} == {0}
