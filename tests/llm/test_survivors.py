@@ -74,6 +74,43 @@ def test_nulls_are_filled_from_later_layers(spark):
     assert (r["mention_id"], r["name"], r["description"], r["aliases"], r["source_chapters"], r["extractor_id"], r["dominant"]) == (1, "A", "long text", ["x"], [1, 2], 2, False)
 
 
+def layers_of(points):
+    layer, left = {}, set(range(len(points)))
+    while left:
+        top = {i for i in left if not any(all(x >= y for x, y in zip(points[j], points[i])) and points[j] != points[i] for j in left)}
+        depth = max(layer.values(), default=0) + 1
+        layer |= dict.fromkeys(top, depth)
+        left -= top
+    return layer
+
+
+def test_fields_come_from_the_first_layer_that_has_them(spark):
+    trust = {1: 0, 2: 1, 3: 0}
+    start = dt.datetime(2025, 1, 1)
+    rng = random.Random(3)
+    rows = [
+        (k, 1, "c", f"N{rng.randint(1, 70)}", rng.choice([None, " ", "    ", "d", "dd"]), rng.choice([None, ["a"]]), rng.choice([None, [1]]), rng.choice([None, None, 1, 3, 9]), start + dt.timedelta(hours=rng.randint(0, 6)), "t", "h")
+        for k in range(1, 600)
+    ]
+    picks = {p["clean_name"]: p for p in sv.choose_all(spark.createDataFrame(rows, ENTITY).repartition(3), spark.createDataFrame(list(trust.items()), EXTRACTORS)).collect()}
+    groups, deep = {}, 0
+    for r in rows:
+        groups.setdefault(r[3].lower(), []).append(r)
+    assert {n for n, g in groups.items() if len(g) > 1} == picks.keys()
+    there = {"description": lambda r: (r[4] or "").strip() != "", "aliases": lambda r: bool(r[5]), "source_chapters": lambda r: bool(r[6]), "extractor_id": lambda r: r[7] is not None}
+    for name, p in picks.items():
+        g = groups[name]
+        points = [vector(r, trust) for r in g]
+        layer = layers_of(points)
+        order = sorted(range(len(g)), key=lambda i: (layer[i], -points[i][4], -points[i][3], -points[i][0], -points[i][1], -points[i][2], g[i][0]))
+        assert p["base_id"] == g[order[0]][0]
+        for field, has in there.items():
+            source = next((i for i in order if has(g[i])), None)
+            deep += source is not None and layer[source] > 1
+            assert p[f"{field}_from"] == (None if source is None else g[source][0]), (name, field)
+    assert deep > 10
+
+
 def test_ties_and_empty(spark):
     t = dt.datetime(2025, 1, 1)
     rows = [(k, 1, "c", "A", "d", ["x"], [1], 1, t, "", "") for k in (2, 1)]
