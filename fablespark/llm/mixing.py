@@ -2,7 +2,7 @@
 
 The token stream of a source (its documents in a hashed order, repeated while it may be) is cut into equal blocks. Block i of
 a source with weight w is released at floor(i/w) and due at ceil((i+1)/w); earliest-deadline-first over the released blocks
-keeps each source within one block of its weight at every slot. The weights are fractions of small integers, so the schedule has a
+keeps each source within one block of its weight at every slot. Weights are exact fractions, so the schedule has a
 period, which is computed once; a block's slot follows from its number, and no schedule of the whole mix is ever gathered.
 """
 
@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from fractions import Fraction
 from functools import reduce
-from math import gcd
+from math import gcd, lcm
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fablespark.runtime import cut, small_rows
 
-#: Weights are read as multiples of this part of 1.
-RESOLUTION = 10_000
+#: Longest period of a schedule in blocks. Weights whose exact period is longer are rounded to it, none to less than one block.
+LONGEST_PERIOD = 100_000
 
 
 def period_schedule(weights: dict[str, int]) -> list[str]:
@@ -33,10 +34,14 @@ def period_schedule(weights: dict[str, int]) -> list[str]:
 
 
 def block_weights(shares: dict[str, float]) -> dict[str, int]:
-    """Smallest integers in the proportion of the shares (to ``RESOLUTION``); shares that round to 0 are left out."""
-    counts = {s: round(w * RESOLUTION) for s, w in shares.items() if w and round(w * RESOLUTION) > 0}
+    """Blocks per period of each positive share: the smallest integers in the proportion of the shares as they are written in decimals."""
+    exact = {s: Fraction(str(w)) for s, w in sorted(shares.items()) if w and w > 0}
+    scale = reduce(lcm, (w.denominator for w in exact.values()), 1)
+    counts = {s: int(w * scale) for s, w in exact.items()}
     divisor = reduce(gcd, counts.values(), 0)
-    return {s: n // divisor for s, n in sorted(counts.items())}
+    counts = {s: n // divisor for s, n in counts.items()}
+    total = sum(counts.values())
+    return counts if total <= LONGEST_PERIOD else {s: max(1, round(Fraction(n * LONGEST_PERIOD, total))) for s, n in counts.items()}
 
 
 def source_stream(tokens: DataFrame, documents_per_bucket: int = 50_000) -> DataFrame:
@@ -54,11 +59,13 @@ def source_stream(tokens: DataFrame, documents_per_bucket: int = 50_000) -> Data
     return rows.withColumn("end", F.sum("tokens").over(within)).join(base, ["source", "bucket"]).select("source", "doc_id", "tokens", (F.col("base") + F.col("end") - F.col("tokens")).alias("start"))
 
 
-def plan_mixes(targets: list, supply: dict[str, int]) -> list[dict]:
-    """One entry for each mix and source: share wanted among the sources that exist, tokens to take, blocks per period.
+def plan_mixes(targets: list, supply: dict[str, int], total_tokens: int | str | None = None) -> list[dict]:
+    """One entry for each mix and source: share wanted, tokens wanted and to take, blocks per period.
 
-    A mix is as large as its scarcest source allows when repeated max_repeats times; sources without documents, or with a share
-    or max_repeats that is null or not positive, contribute nothing and their share is divided among the others in proportion.
+    Without ``total_tokens`` a mix is as large as its scarcest source allows when repeated max_repeats times, so that all have their shares.
+    With a number the mix has that size where it can, and with ``"supply"`` the size of all its sources together: each source is wanted with
+    its share of it, and gives what it has when repeated max_repeats times. Sources without documents, or with a share or max_repeats that is null or not positive, contribute nothing and
+    their share is divided among the others in proportion.
     """
     mixes: dict[str, dict[str, tuple[float, int]]] = {}
     for mix, source, share, repeats in targets:
@@ -67,68 +74,96 @@ def plan_mixes(targets: list, supply: dict[str, int]) -> list[dict]:
     plan = []
     for mix, wanted in sorted(mixes.items()):
         usable = {s: w for s, (w, n) in wanted.items() if w > 0 and n > 0 and supply.get(s)}
-        weights = block_weights({s: Fraction(w).limit_denominator(RESOLUTION) / Fraction(sum(map(Fraction, usable.values()))) for s, w in usable.items()})
+        weights = block_weights(usable)
         period = sum(weights.values())
-        size = min((Fraction(supply[s] * wanted[s][1] * period, n) for s, n in weights.items()), default=Fraction(0))
-        slots = period_schedule(weights)
+        most = {s: supply[s] * wanted[s][1] for s in weights}
+        if total_tokens is None:
+            size = min((Fraction(most[s] * period, n) for s, n in weights.items()), default=Fraction(0))
+        else:
+            size = Fraction(sum(supply[s] for s in weights) if total_tokens == "supply" else total_tokens)
+        slots: dict[str, list[int]] = {}
+        for k, s in enumerate(period_schedule(weights)):
+            slots.setdefault(s, []).append(k)
         for s, (share, repeats) in sorted(wanted.items()):
-            n = weights.get(s, 0)
-            plan.append({"mix_name": mix, "source": s, "target_share": share, "max_repeats": repeats, "period": period, "per_period": n, "take": int(size * n / period) if n else 0, "supply": supply.get(s, 0), "slots": [k for k, x in enumerate(slots) if x == s]})
+            asked = int(size * weights[s] / period) if s in weights else 0
+            plan.append({"mix_name": mix, "source": s, "target_share": share, "max_repeats": repeats, "period": period, "per_period": weights.get(s, 0), "wanted": asked, "take": min(asked, most.get(s, 0)), "supply": supply.get(s, 0), "slots": slots.get(s, [])})
     return plan
 
 
 def _plan_frame(spark: SparkSession, plan: list[dict]) -> DataFrame:
-    kind = "mix_name string, source string, target_share double, max_repeats int, period long, per_period long, take long, supply long, slots array<long>"
+    kind = "mix_name string, source string, target_share double, max_repeats int, period long, per_period long, wanted long, take long, supply long, slots array<long>"
     return spark.createDataFrame([tuple(x.values()) for x in plan], kind)
 
 
-def mix_documents(tokens: DataFrame, targets: DataFrame, block_tokens: int = 1024) -> DataFrame:
+def mix_documents(tokens: DataFrame, targets: DataFrame, block_tokens: int = 1024, total_tokens: int | str | None = None) -> DataFrame:
     """The mixes as rows (mix_name, slot, source, block, repeat, doc_id, tokens, start), in order of slot and start.
 
-    ``tokens`` has (doc_id, source, tokens), ``targets`` the rows of mix_targets. A document is in the block in which it
-    starts. What the mix takes of a source are the first documents of its stream, and up to three later ones, each the largest that the
-    rest has room for. Texts without tokens are not used. A
-    document occurs at most max_repeats times in a mix.
+    ``tokens`` has (doc_id, source, tokens), ``targets`` the rows of mix_targets; ``total_tokens`` as in ``plan_mixes``. A document is in the
+    block in which it starts. What the mix takes of a source are the first documents of its stream, and then, until none fits any
+    more, the largest later one that what is left has room for. Texts without tokens are not used. A document occurs at most
+    max_repeats times in a mix.
     """
-    return _mix(tokens, targets, block_tokens)[0]
+    return _mix(tokens, targets, block_tokens, total_tokens)[0]
 
 
-def _mix(tokens: DataFrame, targets: DataFrame, block_tokens: int, fills: int = 3) -> tuple[DataFrame, DataFrame]:
+_KEY = ["mix_name", "source"]
+
+
+def _greedy(group: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one mix and source that go into its gap, each the largest that what is left has room for."""
+    left, kept, start = int(group["gap"].iloc[0]), [], int(group["taken"].iloc[0])
+    for row in group.sort_values(["tokens", "repeat", "doc_id"], ascending=[False, True, True]).itertuples(index=False):
+        if row.tokens <= left:
+            kept.append((row.mix_name, row.source, row.repeat, row.doc_id, row.tokens, start))
+            left, start = left - row.tokens, start + row.tokens
+    return pd.DataFrame(kept, columns=[*_KEY, "repeat", "doc_id", "tokens", "start"])
+
+
+def _fill(later: DataFrame, gap: DataFrame) -> DataFrame:
+    """Greedy filling of the gaps of all mixes and sources.
+
+    Of documents of one size no more than the gap has room for can be used, so at most gap ln gap rows of a source meet in one task, and a
+    gap is smaller than one document.
+    """
+    rows = later.join(gap, _KEY).where("tokens <= gap")
+    nth = F.row_number().over(Window.partitionBy(*_KEY, "tokens").orderBy("repeat", "doc_id"))
+    few = rows.withColumn("nth", nth).where("nth * tokens <= gap").drop("nth")
+    return few.groupBy(*_KEY).applyInPandas(_greedy, "mix_name string, source string, repeat int, doc_id long, tokens long, start long")
+
+
+def _mix(tokens: DataFrame, targets: DataFrame, block_tokens: int, total_tokens: int | str | None) -> tuple[DataFrame, DataFrame]:
     spark = tokens.sparkSession
     listed = small_rows(targets.select("mix_name", "source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")))
     sources = sorted({r["source"] for r in listed if r["source"] is not None})
     used = cut(tokens.where(F.col("source").isin(sources) & (F.col("tokens") > 0)))
     supply = {r["source"]: r["t"] for r in used.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # no more rows than targets has
-    plan = _plan_frame(spark, plan_mixes(listed, supply))
-    passes = F.sequence(F.lit(1), F.ceil(F.col("take") / F.col("supply")).cast("int"))
-    wanted = plan.where("take > 0").select("*", F.explode(passes).alias("repeat"))
-    offset = F.col("start") + (F.col("repeat") - 1) * F.col("supply")
-    stream = source_stream(used).join(wanted, "source").withColumn("start", offset).where("repeat <= max_repeats")
-    whole = stream.where("start + tokens <= take")
-    # What the documents that lie wholly within the amount leave open goes to the largest later ones that fit, one by one.
-    key = ["mix_name", "source"]
+    plan = _plan_frame(spark, plan_mixes(listed, supply, total_tokens))
+    wanted = plan.where("take > 0").select(*_KEY, "max_repeats", "take", "supply")
+    stream = cut(source_stream(used)).join(wanted, "source")
+
+    def repeated(first: Column, last: Column) -> DataFrame:
+        """The stream's rows with their places in the passes from ``first`` to ``last``."""
+        passes = stream.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("repeat"))
+        return passes.withColumn("start", F.col("start") + (F.col("repeat") - 1) * F.col("supply"))
+
+    fits = F.floor((F.col("take") - F.col("start") - F.col("tokens")) / F.col("supply")).cast("int") + 1  # passes in which the document ends in time
+    columns = [*_KEY, "repeat", "doc_id", "tokens", "start"]
+    whole = repeated(F.lit(1), F.least(fits, "max_repeats")).select(*columns)
     zero = F.lit(0).cast("long")
-    gap = plan.where("take > 0").select(*key, "take").join(whole.groupBy(*key).agg(F.sum("tokens").alias("taken")), key, "left").select(*key, F.coalesce("taken", zero).alias("taken"), (F.col("take") - F.coalesce("taken", zero)).alias("gap"))
-    later = stream.where("start + tokens > take").select(*key, "repeat", "doc_id", "tokens")
-    columns = [*key, "repeat", "doc_id", "tokens", "start"]
-    rows = whole.select(*columns)
-    for _ in range(fills):
-        found = later.join(gap, key).where("tokens <= gap").groupBy(*key).agg(F.max(F.struct("tokens", "repeat", "doc_id", "taken", "gap")).alias("x")).select(*key, "x.*")
-        last = cut(found)  # one row per mix and source
-        rows = rows.unionByName(last.withColumn("start", F.col("taken")).select(*columns))
-        later = later.join(last.select(*key, "repeat", "doc_id"), [*key, "repeat", "doc_id"], "left_anti")
-        gap = last.select(*key, (F.col("taken") + F.col("tokens")).alias("taken"), (F.col("gap") - F.col("tokens")).alias("gap"))
-    rows = rows.join(plan.select(*key, "per_period", "period", "slots"), key).withColumn("block", F.floor(F.col("start") / block_tokens))
+    gap = wanted.join(whole.groupBy(*_KEY).agg(F.sum("tokens").alias("taken")), _KEY, "left").select(*_KEY, F.coalesce("taken", zero).alias("taken"), (F.col("take") - F.coalesce("taken", zero)).alias("gap"))
+    later = repeated(F.greatest(fits, F.lit(0)) + 1, F.col("max_repeats")).select(*_KEY, "repeat", "doc_id", "tokens")
+    rows = whole.unionByName(_fill(later, cut(gap)))
+    rows = rows.join(plan.select(*_KEY, "per_period", "period", "slots"), _KEY).withColumn("block", F.floor(F.col("start") / block_tokens))
     slot = F.floor(F.col("block") / F.col("per_period")) * F.col("period") + F.element_at("slots", (F.col("block") % F.col("per_period") + 1).cast("int"))
     return rows.select("mix_name", slot.alias("slot"), "source", "block", "repeat", "doc_id", "tokens", "start"), plan
 
 
-def mix_report(tokens: DataFrame, targets: DataFrame, block_tokens: int = 1024) -> DataFrame:
-    """Shares really reached, one row per mix and listed source; absent sources have share 0."""
-    rows, plan = _mix(tokens, targets, block_tokens)
-    got = rows.groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), F.max("repeat").alias("most_repeats"))
+def mix_report(tokens: DataFrame, targets: DataFrame, block_tokens: int = 1024, total_tokens: int | str | None = None) -> DataFrame:
+    """Shares really reached and tokens short of what was wanted, one row per mix and listed source; absent sources have share 0."""
+    rows, plan = _mix(tokens, targets, block_tokens, total_tokens)
+    got = rows.groupBy(*_KEY).agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), F.max("repeat").alias("most_repeats"))
     total = Window.partitionBy("mix_name")
     zero = F.lit(0).cast("long")
-    out = plan.join(got, ["mix_name", "source"], "left").withColumn("tokens", F.coalesce("tokens", zero))
+    out = plan.join(got, _KEY, "left").withColumn("tokens", F.coalesce("tokens", zero))
     share = F.round(F.try_divide(F.col("tokens"), F.sum("tokens").over(total)), 6)
-    return out.select("mix_name", "source", "target_share", "max_repeats", "tokens", F.coalesce(share, F.lit(0.0)).alias("actual_share"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    return out.select("mix_name", "source", "target_share", "max_repeats", "tokens", F.coalesce(share, F.lit(0.0)).alias("actual_share"), (F.col("wanted") - F.col("tokens")).alias("short_tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fablespark.llm import grouping, mixing, names, packing, pii, sentences, splitting, survivors, tokens
-from fablespark.runtime import cut, table
+from fablespark.runtime import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,13 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p6_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
+def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the sources where the balanced mix is the target, and what the targets are owed in the end."""
+    targets = table(spark, sf_dir, "mix_targets").where("mix_name = 'balanced'").selectExpr("source", "target_share AS share")
+    packed = packing.pack_documents(tokens.document_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "container_sizes"), targets)
+    return packing.mixture_report(packed, targets)
+
+
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every mix of mix_targets as a schedule of documents."""
     return mixing.mix_documents(tokens.document_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
@@ -66,6 +73,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(tokens.document_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for mixes as large as their sources together, with what scarce sources are short of."""
+    return mixing.mix_report(tokens.document_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"), total_tokens="supply")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal information in the texts of documents."""
     return pii.find_personal_data(table(spark, sf_dir, "documents"), _story_names(spark, sf_dir))
@@ -73,7 +85,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of documents with placeholders for personal information."""
-    return pii.redact(table(spark, sf_dir, "documents"), cut(p8_found(spark, sf_dir)))
+    return pii.redact(table(spark, sf_dir, "documents"), _story_names(spark, sf_dir))
 
 
 def _story_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +95,7 @@ def _story_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The pN_ queries by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_survivors, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_survivors, p6_packed, p6_fill, p6_mixture, p7_mixed, p7_shares, p7_sized, p8_found, p8_redacted)}
 
 
 _CLEAN = "nullif(trim(regexp_replace(lower({}), ' +', ' ', 'g'), ' '), '')"

@@ -40,14 +40,16 @@ def document_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, tokens) of every document.
 
     Source spellings are folded to lower case with underscores; a null or blank source becomes ``unknown``. A doc_id that
-    is stored more than once counts once, with its largest text; rows without doc_id are left out.
+    is stored more than once counts once: its latest row by ingested_at, of these the one with most tokens; rows without doc_id are left out.
     """
     path = path or vocabulary_path()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [count_tokens(t, path) for t in batch["text"]]})
+            yield batch[["doc_id", "source", "at"]].assign(tokens=[count_tokens(t, path) for t in batch["text"]])
 
     folded = F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim("source")), "[- ]+", "_"), F.lit("")), F.lit("unknown"))
-    counted = documents.where("doc_id IS NOT NULL").select("doc_id", folded.alias("source"), "text").mapInPandas(count, "doc_id long, source string, tokens long")
-    return counted.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("x")).select("doc_id", "x.source", "x.tokens")
+    at = F.unix_micros("ingested_at") if "ingested_at" in documents.columns else F.lit(None).cast("long")
+    rows = documents.where("doc_id IS NOT NULL").select("doc_id", folded.alias("source"), at.alias("at"), "text")
+    counted = rows.mapInPandas(count, "doc_id long, source string, at long, tokens long")
+    return counted.groupBy("doc_id").agg(F.max(F.struct("at", "tokens", "source")).alias("x")).select("doc_id", "x.source", "x.tokens")
