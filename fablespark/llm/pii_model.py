@@ -1,12 +1,15 @@
 """Character-level bidirectional LSTM with CRF transitions: inference in numpy.
 
-A text stream is cut into overlapping windows, all windows of a batch run through the network side by side, each is decoded
-with the Viterbi algorithm, and the spans of neighbouring windows are reconciled: a span counts in the window in whose middle
-part it begins, and of spans that still overlap the longer one stays.
+Gates are piecewise linear and the forget gate is one minus the input gate, so that a step is a table look-up of the input gates,
+one matrix product for both directions, and cheap array operations. Texts are laid into rows of one width: a short text is whole in
+one row, apart from others by a symbol that sets the state back to nothing, so no text knows of its neighbours; a long one is cut into
+overlapping windows. Each half of an overlap takes its scores from the window that sees more on both sides, windows are decoded with
+the Viterbi algorithm, and their tags are spliced where both decode the same tag outside of any span, so a span is never cut by a window.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from functools import lru_cache
 from pathlib import Path
 
@@ -14,11 +17,19 @@ import numpy as np
 
 KINDS = ["person", "email", "phone", "id_number", "address"]
 TAGS = 1 + 2 * len(KINDS)  # 0 outside, 1 + 2k begins kind k, 2 + 2k goes on with it
-WINDOW, OVERLAP = 2048, 160
+WIDTH, OVERLAP, ROWS = 2048, 288, 512
+#: Windows of a long text that are scored together; the next ones overlap them like any others.
+SEGMENT = 256
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
 #: Script of characters that have no symbol of their own, as ranges of code points.
-SCRIPTS = [(0x0000, 0x007F), (0x0080, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0E00, 0x0E7F), (0x2000, 0x206F), (0x3000, 0x303F), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xFF00, 0xFFEF)]
+SCRIPTS = [(0x0000, 0x007F), (0x0080, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0E00, 0x0E7F), (0x2000, 0x206F), (0x3000, 0x303F), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xFF00, 0xFFEF)]
+#: Symbol 0 stands for any other character, 1 for the gap between texts: the first of two silences the cells, the second empties them.
+GAP, GAPS = 1, 2
+
+
+def first_own_symbol() -> int:
+    return 4 * (len(SCRIPTS) + 1)
 
 
 def symbol_table(own: str) -> np.ndarray:
@@ -29,7 +40,7 @@ def symbol_table(own: str) -> np.ndarray:
             c = chr(code)
             table[code] = 4 * k + (1 if c.isdigit() else 2 if c.isupper() else 3 if c.isalpha() else 0)
     for k, c in enumerate(own):
-        table[ord(c)] = 4 * (len(SCRIPTS) + 1) + k
+        table[ord(c)] = first_own_symbol() + k
     return table
 
 
@@ -39,129 +50,174 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """The trained network."""
+    """The trained network: per direction the input gates E of each symbol (input, output, candidate), recurrent U, and V to the tags."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.table = symbol_table(str(weights["own"]))
-        self.hidden = int(weights["Uf"].shape[0])
-        # A sigmoid is half of one and a tanh of half its argument: with the gates' weights halved, one tanh serves all four
-        # gates, and as the state below is twice the hidden state, the weights that it meets are halved too. Gates are kept
-        # apart, so that every step works on contiguous arrays.
-        n = self.hidden
         f32 = {k: v.astype(np.float32) for k, v in weights.items() if k != "own"}
-        half = np.array([0.5, 0.5, 0.5, 1], dtype=np.float32)[:, None, None]
-        gates = lambda m: np.ascontiguousarray(m.reshape(len(m), 4, n).transpose(1, 0, 2)) * half
-        self.inputs = [gates(f32[f"E{d}"] + f32[f"b{d}"]) for d in "fb"]
-        self.recurrent = np.stack([gates(f32[f"U{d}"]) * 0.5 for d in "fb"])
-        self.out = np.stack([np.ascontiguousarray(f32[f"V{d}"].T) * 0.5 for d in "fb"])
+        n = self.hidden = f32["Uf"].shape[0]
+        # The linear part of a gate is x / 4 + 1 / 2; both numbers go into the weights.
+        scale = np.repeat(np.array([0.25, 0.25, 1], np.float32), n)
+        shift = np.repeat(np.array([0.5, 0.5, 0], np.float32), n)
+        self.inputs = []
+        for d in "fb":
+            table = (f32[f"E{d}"] + f32[f"b{d}"]) * scale + shift
+            table[GAP, : 2 * n], table[GAP, 2 * n :] = [1e6] * n + [-1e6] * n, 0  # takes in nothing, forgets all, tells nothing
+            self.inputs.append(np.ascontiguousarray(table))
+        self.recurrent = np.stack([f32[f"U{d}"] * scale for d in "fb"])
+        self.out = np.stack([f32[f"V{d}"] for d in "fb"])
         self.out_bias, self.transitions, self.start = f32["vb"], f32["T"], f32["s"]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """Scores (time, tag, window) of symbol ids (time, window); both directions go step by step together."""
-        steps, windows = ids.shape
+        """Scores (time, tag, row) of symbol ids (time, row); both directions go step by step together."""
+        steps, rows = ids.shape
         n = self.hidden
-        scores = np.empty((steps, TAGS, windows), dtype=np.float32)
+        scores = np.empty((steps, TAGS, rows), dtype=np.float32)
         scores[:] = self.out_bias[:, None]
-        h, c, t1 = (np.zeros((2, windows, n), dtype=np.float32) for _ in range(3))
-        z, z2 = (np.empty((2, 4, windows, n), dtype=np.float32) for _ in range(2))
-        part = np.empty((2, TAGS, windows), dtype=np.float32)
-        i, f, o, g = (z[:, k] for k in range(4))
-        for t in range(steps):
-            for d, at in ((0, t), (1, steps - 1 - t)):
-                for k in range(4):
-                    np.take(self.inputs[d][k], ids[at], axis=0, out=z[d, k], mode="clip")
-            np.matmul(h[:, None], self.recurrent, out=z2)
+        z, z2, low, high = (np.empty((2, rows, 3 * n), dtype=np.float32) for _ in range(4))
+        low[..., : 2 * n], low[..., 2 * n :], high[:] = 0, -1, 1
+        h, c, t = (np.zeros((2, rows, n), dtype=np.float32) for _ in range(3))
+        part = np.empty((2, rows, TAGS), dtype=np.float32)
+        i, o, g = (z[..., k * n : (k + 1) * n] for k in range(3))
+        forth, back = self.inputs
+        for at in range(steps):
+            np.take(forth, ids[at], axis=0, out=z[0], mode="clip")
+            np.take(back, ids[steps - 1 - at], axis=0, out=z[1], mode="clip")
+            np.matmul(h, self.recurrent, out=z2)
             z += z2
-            np.tanh(z, out=z)
-            z[:, :3] += 1
-            c *= f
-            np.multiply(i, g, out=t1)
-            c += t1
-            c *= 0.5
-            np.tanh(c, out=t1)
-            np.multiply(o, t1, out=h)
-            np.matmul(self.out, h.transpose(0, 2, 1), out=part)
-            scores[t] += part[0]
-            scores[steps - 1 - t] += part[1]
+            np.maximum(z, low, out=z)
+            np.minimum(z, high, out=z)
+            np.subtract(g, c, out=t)
+            t *= i
+            c += t
+            np.multiply(o, c, out=h)
+            np.matmul(h, self.out, out=part)
+            scores[at] += part[0].T
+            scores[steps - 1 - at] += part[1].T
+        at, row = np.nonzero(ids == GAP)
+        scores[at, 1:, row] = -1e4
         return scores
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
-        """Best tag sequences (time, window); ``scores`` is overwritten with the scores of the best paths.
+        """Best tag sequences (time, row); ``scores`` is overwritten with the scores of the best paths.
 
-        Tags that go on are entered from their own kind alone, the others from any tag.
+        A span begins after what is outside of any, and goes on from its own kind; the outside is entered from any tag.
         """
-        steps, _, windows = scores.shape
+        steps, _, rows = scores.shape
         scores[0] += self.start[:, None]
-        T = self.transitions
-        free, on = np.array([0, *range(1, TAGS, 2)]), np.arange(2, TAGS, 2)
-        moves, begun, going = T[:, free][:, :, None], T[on - 1, on][:, None], T[on, on][:, None]
-        through = np.empty((TAGS, len(free), windows), dtype=np.float32)
-        a, b = (np.empty((len(on), windows), dtype=np.float32) for _ in range(2))
+        T, first, on = self.transitions, np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        leave, begin, begun, going = T[:, :1], T[0, first][:, None], T[first, on][:, None], T[on, on][:, None]
+        out = np.empty((TAGS, rows), dtype=np.float32)
+        a, b = (np.empty((len(on), rows), dtype=np.float32) for _ in range(2))
         for t in range(1, steps):
             last, now = scores[t - 1], scores[t]
-            np.add(last[:, None, :], moves, out=through)
-            best = through.max(axis=0)
-            now[0] += best[0]
-            now[1::2] += best[1:]
+            np.add(last, leave, out=out)
+            now[0] += out.max(axis=0)
+            np.add(begin, last[0], out=a)
+            now[1::2] += a
             np.add(last[1::2], begun, out=a)
             np.add(last[2::2], going, out=b)
             np.maximum(a, b, out=a)
             now[2::2] += a
-        only = np.where(np.isin(np.arange(TAGS), free)[None, :], T, -np.inf)
-        only[on - 1, on], only[on, on] = T[on - 1, on], T[on, on]
-        tags = np.empty((steps, windows), dtype=np.int8)
+        only = np.full((TAGS, TAGS), -np.inf, dtype=np.float32)
+        only[:, 0], only[0, first], only[first, on], only[on, on] = T[:, 0], T[0, first], T[first, on], T[on, on]
+        tags = np.empty((steps, rows), dtype=np.int8)
         tags[-1] = scores[-1].argmax(axis=0)
         for t in range(steps - 1, 0, -1):
             tags[t - 1] = (scores[t - 1] + only[:, tags[t]]).argmax(axis=0)
         return tags
 
-    def spans(self, text: str, windows_at_once: int = 1024) -> list[tuple[int, int, int]]:
-        """(start, end, kind) of the spans of a text stream, in order and without overlap."""
-        ids = symbols(text, self.table)
-        n = len(ids)
-        if not n:
-            return []
-        step = WINDOW - OVERLAP
-        begins = np.arange(0, max(1, n - OVERLAP), step)
-        pad = np.concatenate([ids, np.zeros(begins[-1] + WINDOW - n, dtype=ids.dtype)]) if begins[-1] + WINDOW > n else ids
-        found: list[tuple[int, int, int]] = []
-        for k in range(0, len(begins), windows_at_once):
-            at = begins[k : k + windows_at_once]
-            tags = self.decode(self.emissions(np.ascontiguousarray(pad[at[None, :] + np.arange(WINDOW)[:, None]]))).T
-            found += self._window_spans(tags, at, n, last=int(begins[-1]))
-        return reconcile(found)
-
-    @staticmethod
-    def _window_spans(tags: np.ndarray, at: np.ndarray, n: int, last: int) -> list[tuple[int, int, int]]:
-        flat = tags.ravel()
-        inside = flat > 0
-        edge = np.ones(len(flat), dtype=bool)
-        edge[1:] = (flat[1:] != flat[:-1]) & ~((flat[1:] == flat[:-1] + 1) & (flat[1:] % 2 == 0))
-        edge[:: tags.shape[1]] = True
-        starts = np.flatnonzero(edge & inside)
-        out = []
-        edges = np.flatnonzero(edge)
-        stops = np.append(edges, len(flat))[np.searchsorted(edges, starts, side="right")]
-        for a, b in zip(starts.tolist(), stops.tolist()):
-            w = a // tags.shape[1]
-            begin, offset = int(at[w]), a % tags.shape[1]
-            if (offset >= OVERLAP // 2 or begin == 0) and (offset < WINDOW - OVERLAP // 2 or begin == last):
-                out.append((begin + offset, min(n, begin + offset + b - a), (int(flat[a]) - 1) // 2))
-        return out
-
-
-def reconcile(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans in order of place; of two that overlap the longer stays, of equals the earlier."""
-    kept: list[tuple[int, int, int]] = []
-    for span in sorted(set(spans)):
-        if span[1] <= span[0]:
-            continue
-        if kept and span[0] < kept[-1][1]:
-            if span[1] - span[0] > kept[-1][1] - kept[-1][0]:
-                kept[-1] = span
-            continue
-        kept.append(span)
-    return kept
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """For each text the (start, end, kind) of its spans, in order and without overlap; each text's are the same whatever stands beside it."""
+        ids = [symbols(t, self.table) for t in texts]
+        tags = [np.zeros(len(x), dtype=np.int8) for x in ids]
+        half = OVERLAP // 2
+        for units in _batches([u for k, x in enumerate(ids) for u in _units(k, len(x))]):
+            places, rows = _rows(units)
+            grid = np.full((WIDTH + 2, -(-rows // 64) * 64), GAP, dtype=np.int16)  # products of whole blocks round alike for every row
+            for (k, a, b), (r, at) in places.items():
+                grid[at : at + b - a, r] = ids[k][a:b]
+            scores = self.emissions(grid)
+            for unit in units:
+                for (k, a, b), following in zip(unit, unit[1:]):  # each half of an overlap from the window that sees more around it
+                    (r, at), (r2, at2) = places[k, a, b], places[following]
+                    end = at + b - a
+                    scores[end - half : end, :, r] = scores[at2 + half : at2 + OVERLAP, :, r2]
+                    scores[at2 : at2 + half, :, r2] = scores[end - OVERLAP : end - half, :, r]
+            found = self.decode(scores)
+            for unit in units:
+                for k, a, b in unit:
+                    r, at = places[k, a, b]
+                    own = found[at : at + b - a, r]
+                    cut = splice(tags[k][a : a + OVERLAP], own[:OVERLAP]) if a else 0
+                    tags[k][a + cut : b] = own[cut:]
+        return [tag_spans(x) for x in tags]
+
+
+Piece = tuple[int, int, int]  # text, start, end
+
+
+def _units(text: int, length: int) -> list[list[Piece]]:
+    """The windows of a text, all of about one width, in segments that are scored together; the windows of a long text overlap."""
+    if not length:
+        return []
+    n = max(1, -(-(length - OVERLAP) // (WIDTH - OVERLAP)))
+    step = (length - OVERLAP) / n if n > 1 else length
+    edges = [round(k * step) for k in range(n)]  # window k goes from edge k to OVERLAP beyond the next one
+    pieces = [(text, a, b + OVERLAP) for a, b in zip(edges, edges[1:])] + [(text, edges[-1], length)]
+    return [pieces[k : k + SEGMENT] for k in range(0, n, SEGMENT)]
+
+
+def _batches(units: list[list[Piece]]) -> list[list[list[Piece]]]:
+    """Units in batches of about equal size, ``ROWS`` rows at most or one segment more."""
+    size = lambda unit: sum(b - a + GAPS for _, a, b in unit)
+    total = sum(map(size, units))
+    if not total:
+        return []
+    most = total / -(-total // (ROWS * WIDTH))
+    out, done = [[]], 0
+    for unit in units:
+        if done >= most * len(out):
+            out.append([])
+        out[-1].append(unit)
+        done += size(unit)
+    return out
+
+
+def _rows(units: list[list[Piece]]) -> tuple[dict[Piece, tuple[int, int]], int]:
+    """(row, place in it) of each piece, with gaps on both sides, and the number of rows: from the longest on, each goes where the least room is left that it fits."""
+    places: dict[Piece, tuple[int, int]] = {}
+    room: list[tuple[int, int]] = []  # (room left, row), in order
+    rows = 0
+    for piece in sorted((p for unit in units for p in unit), key=lambda p: (p[1] - p[2], p)):
+        need = piece[2] - piece[1]
+        at = bisect_left(room, (need, -1))
+        left, row = room.pop(at) if at < len(room) else (WIDTH, rows)
+        rows += row == rows
+        places[piece] = row, 1 + WIDTH - left
+        insort(room, (left - need - GAPS, row))
+    return places, rows
+
+
+def splice(left: np.ndarray, right: np.ndarray) -> int:
+    """Where to pass from one window's tags to the next one's in their overlap: nearest to the middle where both are outside; else the middle."""
+    both = np.flatnonzero((left == 0) & (right[: len(left)] == 0))
+    middle = len(left) // 2
+    return int(both[np.abs(both - middle).argmin()]) if len(both) else middle
+
+
+def tag_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the spans of a tag sequence."""
+    inside = tags > 0
+    if not inside.any():
+        return []
+    edge = np.ones(len(tags), dtype=bool)
+    edge[1:] = (tags[1:] != tags[:-1]) & ~((tags[1:] == tags[:-1] + 1) & (tags[1:] % 2 == 0))
+    edge |= inside & (tags % 2 == 1)
+    edges = np.flatnonzero(edge)
+    stops = np.append(edges[1:], len(tags))
+    keep = inside[edges]
+    return [(int(a), int(b), (int(tags[a]) - 1) // 2) for a, b in zip(edges[keep], stops[keep])]
 
 
 @lru_cache(1)

@@ -1,11 +1,10 @@
 """Training of the personal-data tagger, in numpy, from labelled spans.
 
-python -m fablespark.llm.pii_training DOCUMENTS.parquet [SAMPLE_DOCUMENTS SECONDS]
+python -m fablespark.llm.pii_training TABLES_DIRECTORY [SAMPLE_DOCUMENTS SECONDS WORKERS [RATE]]
 
-The labelled spans are made here: the carrier phrases and formats below mark the spans of a bounded sample of documents
-(``SAMPLE_DOCUMENTS`` rows at most), and part of the marked names and addresses are replaced by invented ones, so that the network
-learns the surroundings and not only the words. The result is ``pii_weights.npz`` beside this file. Nothing here runs when
-documents are tagged.
+The labelled spans are made by ``pii_samples``: marked ones in a bounded sample of documents (``SAMPLE_DOCUMENTS`` rows at most), many
+of them replaced by invented ones, and passages with invented ones only. The result is ``pii_weights.npz`` beside this file; with a rate the training goes on from the weights that are there.
+Nothing here runs when documents are tagged.
 """
 
 from __future__ import annotations
@@ -18,111 +17,54 @@ from multiprocessing import get_context
 
 import numpy as np
 
-from fablespark.llm.pii_model import KINDS, SCRIPTS, TAGS, WEIGHTS, Tagger, symbol_table, symbols
-
-# --- Fixed values: formats of the labelled sample --------------------------------------------------------------------------
-
-GIVEN = "Oona Nadim Odette Edda Wim Ivo Mirela Lorcan Brice Quentin Kirsi Tomasz Jorah Piet Dunya Tariq Sanna Leopold Callum Marit Paloma Hester Freya Ulrike Gideon Halvard Rhoswen Ines Vesna Yusra".split()
-FAMILY = "Quarrenby MacTavarish Iturmendia Corrigault Tellamont Jankoviel Umberleigh Bissonnay Rastogami Tarnopolle Nwosugo Falkensund Achterfeld Dunmarrow Garrowhythe O'Branagh Zubrowitz Ollenquist Vandermeyde Skovhaugen Wexcombe Hollinrake-Moss Yilmazer Kettlebury Prewettle Eisengrau Lindqvarn".split() + ["van der Spoek"]
-TOWNS = "Brackenford|Castle Tolley|Dunmere|Eastry-on-Fenn|Hobbsend Quay|Little Sorrow|Nether Wallow|Port Ammering"
-STREET = r"(?:[\w.'’-]+ ){1,3}(?:Street|St\.|Avenue|Ave\.|Lane|Ln\.|Road|Rd|Terrace|Drive|Row|Close|Yard|Ct\.?|Court|Way|Hill|Walk)"
-POSTCODE = r"(?:[A-Z]{2}\d \d[A-Z]{2}|\d{5})"
-
-_G, _F = "|".join(GIVEN), "|".join(map(re.escape, FAMILY))
-PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+-]+(?: ?[@＠] ?| ?[(\[]at[)\]] ?| at )(?:[\w-]+(?:\.| ?[(\[]dot[)\]] ?| dot )){1,3}?(?:example|invalid|test)(?:(?:\.| ?[(\[]dot[)\]] ?| dot )(?:net|org|com))?(?![A-Za-z0-9-])",
-    "phone": r"(?<![A-Za-z0-9+-])(?:(?:\+44 \d{4} \d{6}|\+44 20 \d{4} \d{4}|0044 20 \d{4} \d{4}|0044 7700 \d{6}|07700 900 ?\d{3}|020 \d{4} \d{4}|\+1[ -]202[ -]555[ -]\d{4}|\(202\) 555-\d{4}|1?[-.]?202[.-]555[.-]\d{4}|2025550\d{3}|\+49 30 23125 \d{3}|\(030\) 23125 \d{3}|030/23125-\d{3}|\+33 1(?: \d\d){4}|01(?:[. ]\d\d){4}|600[- ]000[- ]\d{3}|\+34 600 000 \d{3}|\+7 \(000\) 555-\d\d-\d\d|8 \(?000\)? 555[ -]\d\d[ -]\d\d|\+91 00000 \d{5}|\+86 000 0000 \d{4}|000-0000-\d{4}|\+81 3 0000 \d{4}|0\d-0000-\d{4}|０[０-９]－[０-９－]{9}|[٠-٩]{11})(?: ext\.? \d+| x\d+)?|(?:five )+zero(?: (?:zero|one|two|three|four|five|six|seven|eight|nine)){3,4})(?![A-Za-z0-9-])",
-    "id_number": r"(?<![A-Za-z0-9.-])(?:X\d{8}|QQ ?\d\d ?\d\d ?\d\d ?[A-D]|\d{8}-[A-Z]|000[- ]\d\d[- ]\d{4}|9-\d{4}-\d{5}-\d\d|00 \d{3} \d{3} \d{3})(?![A-Za-z0-9-])",
-    "address": rf"(?<![A-Za-zÀ-ÿ0-9.-])(?:(?:Flat \d+,\s|Unit \d+/)?\d+[a-z]? {STREET}(?:,\s|\n)(?:{TOWNS})(?:,?[ \n]{POSTCODE})?|PO Box \d+,\s(?:{TOWNS})(?:,?[ \n]{POSTCODE})?|(?:[\wäöüß]+(?:gasse|stieg|weg|straße|str\.)|Am Alten Wehr) \d+ ?[a-z]?, \d{{5}} [A-ZÄÖÜ][\wäöüß]+|\d+(?: bis| ter)?, (?:rue|impasse|allée|quai|place|avenue|chemin) [^,\n]+?, \d{{5}} [A-Z][\w’-]+|(?:Calle|Plaza|C/|Avda\.|Camino) [^,\n\d]+? \d+, \d+\.º [A-Z], \d{{5}} [A-Z]\w+|г\. [А-Я][\w-]+, ул\. [А-Я][\w-]+, д\. \d+, кв\. \d+|〒\d{{3}}-\d{{4}} ?[^\s\d]+\d+-\d+-\d+)",
-    "person": rf"(?<![\w@.+-])(?:(?:(?:{_G}|[A-Z]\.) (?:[A-Z]\. )?(?:{_F})|(?:{_F}), (?:(?:{_G})|[A-Z]\.))(?: Jr\.)?)(?![\w@+-])|(?<=Меня зовут )[А-Я]\w+ [А-Я]\w+|(?<=С уважением, )[А-Я]\w+ [А-Я]\w+|(?<=我叫)[一-鿿]{{2,4}}(?=。)|(?<=此致，)[一-鿿]{{2,4}}(?![一-鿿])|(?<![ぁ-んァ-ヶ一-鿿])[ヶ一-鿿]{{1,4}}[ 　]?[ぁ-ん一-鿿]{{1,4}}(?=と申します)|(?<=敬具　)[ヶ一-鿿]{{2,4}}[ 　]?[ぁ-ん一-鿿]{{1,4}}",
-}
-_FINDERS = {kind: re.compile(p, re.I if kind in ("email", "address", "person") else 0) for kind, p in PATTERNS.items()}
-
-
-def labelled_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the spans of a document of the sample."""
-    spans: list[tuple[int, int, int]] = []
-    for kind in ("email", "address", "phone", "id_number", "person"):
-        for m in _FINDERS[kind].finditer(text):
-            a, b = m.span()
-            if not any(a < y and x < b for x, y, _ in spans):
-                spans.append((a, b, KINDS.index(kind)))
-    return sorted(spans)
-
-
-def _invented_word(rng: random.Random) -> str:
-    onset = ["b", "br", "c", "ch", "d", "dr", "f", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "pr", "qu", "r", "s", "st", "t", "th", "v", "w", "y", "z"]
-    word = "".join(rng.choice(onset) + rng.choice("aeiouy") + rng.choice(["", "", "n", "r", "l", "s", "m", "ck", "tt"]) for _ in range(rng.choice((1, 2, 2, 3))))
-    return word.capitalize()
-
-
-def varied(text: str, spans: list[tuple[int, int, int]], rng: random.Random, share: float) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with a share of its Latin name and street words replaced by invented words."""
-    out, moved, last = [], [], 0
-    for a, b, kind in spans:
-        piece = text[a:b]
-        if KINDS[kind] in ("person", "address") and rng.random() < share:
-            upper, lower = piece.isupper(), piece.islower()
-            keep = {"Jr", "PO", "Box", "Flat", "Unit", "van", "der", "Street", "St", "Avenue", "Lane", "Road", "Rd", "Terrace", "Drive", "Row", "Close", "Yard", "Ct", "rue", "impasse", "Calle", "Plaza"}
-            piece = re.sub(r"[A-Za-z]{3,}", lambda m: m.group() if m.group().title() in keep or m.group() in keep else _invented_word(rng), piece)
-            piece = piece.upper() if upper else piece.lower() if lower else piece
-        out.append(text[last:a])
-        start = sum(map(len, out))
-        out.append(piece)
-        moved.append((start, start + len(piece), kind))
-        last = b
-    out.append(text[last:])
-    return "".join(out), moved
-
-
-# --- The network -------------------------------------------------------------------------------------------------------------
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+from fablespark.llm.pii_model import GAP, GAPS, KINDS, TAGS, WEIGHTS, Tagger, first_own_symbol, symbol_table, symbols
+from fablespark.llm.pii_samples import Inventor, Marker, Span, varied
 
 
 def lstm_forward(ids: np.ndarray, p: dict[str, np.ndarray], d: str) -> tuple[np.ndarray, list]:
+    """States (time, row, unit) in one direction; gates are linear between 0 and 1, the candidate between -1 and 1."""
     steps, n = ids.shape[0], p[f"U{d}"].shape[0]
     h, c = np.zeros((ids.shape[1], n), np.float32), np.zeros((ids.shape[1], n), np.float32)
     out, kept = np.empty((steps, ids.shape[1], n), np.float32), [None] * steps
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        z = p[f"E{d}"][ids[t]] + p[f"b{d}"] + h @ p[f"U{d}"]
-        z[:, : 3 * n] = sigmoid(z[:, : 3 * n])
-        z[:, 3 * n :] = np.tanh(z[:, 3 * n :])
+        raw = p[f"E{d}"][ids[t]] + p[f"b{d}"] + h @ p[f"U{d}"]
+        raw[:, : 2 * n] = raw[:, : 2 * n] * 0.25 + 0.5
+        z = np.clip(raw, 0, 1)
+        z[:, 2 * n :] = np.clip(raw[:, 2 * n :], -1, 1)
         before = c
-        c = z[:, n : 2 * n] * c + z[:, :n] * z[:, 3 * n :]
-        bent = np.tanh(c)
-        kept[t] = (z, before, bent, h)
-        h = z[:, 2 * n : 3 * n] * bent
+        c = c + z[:, :n] * (z[:, 2 * n :] - c)
+        kept[t] = (raw == z, z, before, c, h)
+        h = z[:, n : 2 * n] * c
         out[t] = h
     return out, kept
 
 
-def lstm_backward(ids: np.ndarray, p: dict[str, np.ndarray], d: str, kept: list, grad: np.ndarray) -> dict[str, np.ndarray]:
+def lstm_backward(ids: np.ndarray, p: dict[str, np.ndarray], d: str, kept: list, grad: np.ndarray, leak: float) -> dict[str, np.ndarray]:
+    """Gradients; outside of a gate's linear part ``leak`` of the gradient goes through, so that no unit is stuck."""
     steps, n = ids.shape[0], p[f"U{d}"].shape[0]
     dE, dU = np.zeros_like(p[f"E{d}"]), np.zeros_like(p[f"U{d}"])
     dh, dc = np.zeros((ids.shape[1], n), np.float32), np.zeros((ids.shape[1], n), np.float32)
-    dz_all = np.empty((steps, ids.shape[1], 4 * n), np.float32)
+    dz_all = np.empty((steps, ids.shape[1], 3 * n), np.float32)
+    slope = np.repeat(np.array([0.25, 0.25, 1], np.float32), n)
     for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
-        z, before, bent, h = kept[t]
-        i, f, o, g = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
+        linear, z, before, c, h = kept[t]
+        i, o, g = z[:, :n], z[:, n : 2 * n], z[:, 2 * n :]
         dh = dh + grad[t]
-        dc = dc + dh * o * (1 - bent * bent)
+        dc = dc + dh * o
         dz = dz_all[t]
-        dz[:, :n] = dc * g * i * (1 - i)
-        dz[:, n : 2 * n] = dc * before * f * (1 - f)
-        dz[:, 2 * n : 3 * n] = dh * bent * o * (1 - o)
-        dz[:, 3 * n :] = dc * i * (1 - g * g)
+        dz[:, :n] = dc * (g - before)
+        dz[:, n : 2 * n] = dh * c
+        dz[:, 2 * n :] = dc * i
+        dz *= np.where(linear, slope, slope * leak)
         dU += h.T @ dz
-        dh, dc = dz @ p[f"U{d}"].T, dc * f
-    flat = dz_all.reshape(-1, 4 * n)
+        dh, dc = dz @ p[f"U{d}"].T, dc * (1 - i)
+    flat = dz_all.reshape(-1, 3 * n)
     order = np.argsort(ids.ravel(), kind="stable")
     first = np.flatnonzero(np.diff(ids.ravel()[order], prepend=-1))
     dE[ids.ravel()[order][first]] = np.add.reduceat(flat[order], first, axis=0)
+    dE[GAP] = 0
     return {f"E{d}": dE, f"U{d}": dU, f"b{d}": flat.sum(axis=0)}
 
-
 def crf_loss(scores: np.ndarray, tags: np.ndarray, p: dict[str, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """(negative log likelihood per character, gradients of the scores, the transitions and the start)."""
     steps, rows, _ = scores.shape
@@ -164,7 +106,7 @@ def allowed_transitions() -> np.ndarray:
     return T
 
 
-def gradients(ids: np.ndarray, tags: np.ndarray, p: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+def gradients(ids: np.ndarray, tags: np.ndarray, p: dict[str, np.ndarray], leak: float = 0.1) -> tuple[float, dict[str, np.ndarray]]:
     """(loss, gradients per character) of a batch of windows."""
     (hf, kf), (hb, kb) = (lstm_forward(ids, p, d) for d in "fb")
     scores = hf @ p["Vf"] + hb @ p["Vb"] + p["vb"]
@@ -173,7 +115,7 @@ def gradients(ids: np.ndarray, tags: np.ndarray, p: dict[str, np.ndarray]) -> tu
     g = {"T": gT, "s": g0, "vb": flat.sum(axis=0)}
     for d, h, kept in (("f", hf, kf), ("b", hb, kb)):
         g[f"V{d}"] = h.reshape(-1, h.shape[2]).T @ flat
-        g |= lstm_backward(ids, p, d, kept, gs @ p[f"V{d}"].T)
+        g |= lstm_backward(ids, p, d, kept, gs @ p[f"V{d}"].T, leak)
     return loss, {k: v / tags.size for k, v in g.items()}
 
 
@@ -193,19 +135,31 @@ def _sampled_gradients(job: tuple) -> tuple[float, dict[str, np.ndarray]]:
     return gradients(ids, gold, p)
 
 
-def train(texts: list[str], spans: list[list[tuple[int, int, int]]], hidden: int = 12, steps: int = 1500, workers: int = 8, rows: int = 24, width: int = 192, seed: int = 1, seconds: float = 900) -> dict[str, np.ndarray]:
-    """Weights of the network, trained on windows of the texts, most of them around spans."""
+def initial(symbols_count: int, hidden: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Random weights."""
+    p = {"T": allowed_transitions(), "s": np.zeros(TAGS, np.float32), "vb": np.zeros(TAGS, np.float32)}
+    for d in "fb":
+        p[f"E{d}"] = rng.normal(0, 0.25, (symbols_count, 3 * hidden)).astype(np.float32)
+        p[f"E{d}"][GAP] = np.repeat(np.array([100, -100, 0], np.float32), hidden)
+        p[f"U{d}"] = rng.normal(0, 0.7 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(np.float32)
+        p[f"b{d}"] = np.repeat(np.array([-0.6, 0, 0], np.float32), hidden)
+        p[f"V{d}"] = rng.normal(0, 0.3, (hidden, TAGS)).astype(np.float32)
+    return p
+
+
+def train(texts: list[str], spans: list[list[Span]], hidden: int = 20, steps: int = 1500, workers: int = 8, rows: int = 24, width: int = 192, seed: int = 1, seconds: float = 900, begin: dict[str, np.ndarray] | None = None, rate: float = 0.01) -> dict[str, np.ndarray]:
+    """Weights of the network, trained on windows of the texts, most of them around spans; ``begin`` may give weights to go on from."""
     rng = np.random.default_rng(seed)
     counts: dict[str, int] = {}
     for t in texts:
         for c in t:
             counts[c] = counts.get(c, 0) + 1
-    own = "".join(sorted(sorted((c for c in counts if ord(c) < 65536 and counts[c] >= 20), key=lambda c: (-counts[c], c))[:700]))
+    own = str(begin["own"]) if begin else "".join(sorted(sorted((c for c in counts if ord(c) < 65536 and counts[c] >= 20), key=lambda c: (-counts[c], c))[:700]))
     table = symbol_table(own)
     stream, tags, marks = [], [], []
     place = 0
     for t, sp in zip(texts, spans):
-        ids = symbols(t + "\n\n", table)
+        ids = np.append(symbols(t, table), [GAP] * GAPS)
         y = np.zeros(len(ids), np.int8)
         for a, b, k in sp:
             y[a] = 1 + 2 * k
@@ -216,16 +170,9 @@ def train(texts: list[str], spans: list[list[tuple[int, int, int]]], hidden: int
         place += len(ids)
     x, y = np.concatenate(stream).astype(np.int64), np.concatenate(tags).astype(np.int64)
     by_kind = [np.array([a for a, k in marks if k == kind]) for kind in range(len(KINDS))]
-    size = 4 * (len(SCRIPTS) + 1) + len(own)
-    p = {"T": allowed_transitions(), "s": np.zeros(TAGS, np.float32), "vb": np.zeros(TAGS, np.float32)}
-    for d in "fb":
-        p[f"E{d}"] = rng.normal(0, 0.15, (size, 4 * hidden)).astype(np.float32)
-        p[f"U{d}"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden)).astype(np.float32) * 0.6
-        p[f"b{d}"] = np.zeros(4 * hidden, np.float32)
-        p[f"b{d}"][hidden : 2 * hidden] = 1
-        p[f"V{d}"] = rng.normal(0, 0.2, (hidden, TAGS)).astype(np.float32)
+    p = {k: v.astype(np.float32) for k, v in begin.items() if k != "own"} if begin else initial(first_own_symbol() + len(own), hidden, rng)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    fixed = p["T"] <= -30
+    fixed = allowed_transitions() <= -30
     began = time.time()
     _DATA.update(x=x, y=y, by_kind=by_kind)
     with get_context("fork").Pool(workers) as pool:
@@ -235,46 +182,62 @@ def train(texts: list[str], spans: list[list[tuple[int, int, int]]], hidden: int
             g = {k: sum(x[1][k] for x in parts) / workers for k in p}
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             done = max(step / steps, (time.time() - began) / seconds)
-            rate = 0.01 * min(1, step / 50) * max(0.02, 1 - done)
+            now = rate * min(1, step / 50) * max(0.02, 1 - done)
             for k, a in g.items():
                 a *= min(1.0, 0.5 / (norm + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * a
                 v[k] = 0.995 * v[k] + 0.005 * a * a
-                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.995**step)) + 1e-8)
+                p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.995**step)) + 1e-8)
             p["T"][fixed] = -30
-            if step % 50 == 0:
+            if step % 100 == 0:
                 print(f"step {step}, loss {loss:.5f}, {time.time() - began:.0f} s", flush=True)
             if time.time() - began > seconds:
                 break
     return p | {"own": np.array(own)}
 
 
-def evaluate(weights: dict[str, np.ndarray], texts: list[str], spans: list[list[tuple[int, int, int]]]) -> dict[str, tuple[int, int, int]]:
+def evaluate(weights: dict[str, np.ndarray], texts: list[str], spans: list[list[Span]]) -> dict[str, tuple[int, int, int]]:
     """Per kind: spans found exactly, spans found, spans labelled."""
-    tagger = Tagger(weights)
-    stream = "\n\n".join(texts)
-    gold, place = set(), 0
-    for t, sp in zip(texts, spans):
-        gold |= {(place + a, place + b, k) for a, b, k in sp}
-        place += len(t) + 2
-    found = set(tagger.spans(stream))
-    return {name: (len({x for x in found & gold if x[2] == k}), len({x for x in found if x[2] == k}), len({x for x in gold if x[2] == k})) for k, name in enumerate(KINDS)}
+    gold = {(k, *s) for k, sp in enumerate(spans) for s in sp}
+    found = {(k, *s) for k, sp in enumerate(Tagger(weights).spans(texts)) for s in sp}
+    return {name: (len({x for x in found & gold if x[3] == k}), len({x for x in found if x[3] == k}), len({x for x in gold if x[3] == k})) for k, name in enumerate(KINDS)}
 
 
-def main(path: str, sample: int = 10_000, seconds: float = 900) -> None:
+def sampled(directory: str, sample: int) -> tuple[list[str], Marker]:
+    """Distinct texts of the first ``sample`` documents by doc_id, shuffled, and the marker learnt from them."""
     import pyarrow.parquet as pq
 
-    texts = [t for t in pq.read_table(path, columns=["doc_id", "text"]).sort_by("doc_id").slice(0, sample)["text"].to_pylist() if t]
+    texts = [t for t in pq.read_table(f"{directory}/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id").slice(0, sample)["text"].to_pylist() if t]
     texts = list(dict.fromkeys(texts))
-    rng = random.Random(7)
-    rng.shuffle(texts)
-    held = texts[: len(texts) // 10]
-    training = [varied(t, labelled_spans(t), rng, 0.35) for t in texts[len(held) :]]
-    print(len(training), "documents,", sum(len(s) for _, s in training), "spans")
-    weights = train([t for t, _ in training], [s for _, s in training], seconds=seconds, steps=20_000)
-    print(evaluate(weights, held, [labelled_spans(t) for t in held]))
+    random.Random(7).shuffle(texts)
+    listed = [*pq.read_table(f"{directory}/story_figures.parquet")["figure_name"].to_pylist(), *pq.read_table(f"{directory}/entities_raw.parquet")["name"].to_pylist()]
+    return texts, Marker(texts, {n.strip().lower() for n in listed if n})
+
+
+def passages(texts: list[str], marks: list[list[Span]], make: Inventor, count: int) -> list[tuple[str, list[Span]]]:
+    """Passages of invented sentences with spans between sentences without any of the texts."""
+    fillers = [m.group().strip() for t, sp in zip(texts, marks) for m in re.finditer(r"[^.!?。！？।\n]{15,160}[.!?。！？।]", t) if not any(a < m.end() and m.start() < b for a, b, _ in sp)]
+    return [make.passage(lambda: make.rng.choice(fillers)) for _ in range(count)]
+
+
+def main(directory: str, sample: int = 10_000, seconds: float = 900, workers: int = 8, rate: float | None = None) -> None:
+    texts, mark = sampled(directory, sample)
+    held, kept = texts[: len(texts) // 10], texts[len(texts) // 10 :]
+    rng = random.Random(7 if rate is None else 17)
+    make = Inventor(rng)
+    marks = [mark(t) for t in kept]
+    training = [varied(t, sp, make, 0.7 if k % 2 else 0.0) for k, (t, sp) in enumerate(zip(kept, marks))]
+    training += passages(kept, marks, make, 2 * len(kept))
+    rng.shuffle(training)
+    print(len(training), "texts,", sum(len(s) for _, s in training), "spans", flush=True)
+    begin = None if rate is None else dict(np.load(WEIGHTS))
+    weights = train([t for t, _ in training], [s for _, s in training], seconds=seconds, steps=40_000, workers=workers, begin=begin, rate=rate or 0.01, seed=1 if rate is None else 2)
     np.savez_compressed(WEIGHTS, **{k: v if k == "own" else v.astype(np.float16) for k, v in weights.items()})
+    held_marks = [mark(t) for t in held]
+    print("held-out documents:", evaluate(weights, held, held_marks))
+    invented = passages(held, held_marks, Inventor(random.Random(8), held=True), 2000)
+    print("held-out names and forms:", evaluate(weights, [t for t, _ in invented], [s for _, s in invented]))
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], *map(int, sys.argv[2:3]), *map(float, sys.argv[3:4]))
+    main(sys.argv[1], *map(int, sys.argv[2:3]), *map(float, sys.argv[3:4]), *map(int, sys.argv[4:5]), *map(float, sys.argv[5:6]))

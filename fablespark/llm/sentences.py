@@ -24,7 +24,7 @@ CLOSERS = "”’»」』)）]"
 #: Abbreviations that are never the end of a sentence.
 TITLES = {"mr", "mrs", "ms", "dr", "prof", "st", "capt", "rev", "gen", "lt", "col", "sgt", "maj", "cmdr", "hon", "messrs", "fr", "hr", "mme", "mlle", "sr", "sra", "srta", "dra", "ud", "uds", "pág", "ej", "ex", "cf", "ca", "bzw", "ph", "ул", "проф", "डॉ", "श्री", "op", "esp", "vs", "viz", "i.e", "e.g", "π.χ", "т.е", "z.b", "d.h"}
 #: Abbreviations that are not the end of a sentence before a number.
-NUMBERED = {"no", "nos", "nr", "vol", "vols", "pp", "bd", "fig", "figs", "ch", "sec", "art", "núm", "num", "tel", "гл", "рис"}
+NUMBERED = {"no", "nos", "nr", "vol", "vols", "pp", "bd", "fig", "figs", "ch", "sec", "art", "núm", "num", "tel", "гл", "рис", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "okt", "nov", "dec", "dez"}
 #: Abbreviations that may end a sentence: they do unless a lower-case letter, a digit or a comma follows.
 ENDING = {"co", "ltd", "inc", "etc", "usw", "jr", "a.m", "p.m", "al"}
 MONTHS = {"januar", "jänner", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember", "jahrhundert", "jahrhunderts"}
@@ -144,8 +144,10 @@ def run_transducer(symbols: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 # --- Lexing ----------------------------------------------------------------------------------------------------------------
 
-_WORD = re.compile(r"[^\s()\[\]\"'“”‘’„«»「」『』（）,;:!?！？。…—–\-]*$")
 _PARTICLE = re.compile(r"(?:" + "|".join(map(re.escape, PARTICLES)) + r")\S")
+#: Abbreviations in small letters have fewer letters than this.
+_LONGEST_LOWER = 7
+_OPENER = {x: o for o, x in QUOTES.items()}
 _LETTERS = re.compile(r"\w*")
 _SEGMENT = re.compile(r"[^.!?！？؟。।\n]*")
 
@@ -155,9 +157,8 @@ def _particle(text: str, at: int) -> bool:
     return bool(m) and text[m.end() - 1].isupper()
 
 
-def _dot_ends(text: str, at: int, follow: int, where: int, adjacent: bool) -> bool:
-    """Whether a single full stop at ``at`` ends a sentence, when class ``follow`` comes next at position ``where``."""
-    word = _WORD.search(text, max(0, at - 16), at).group()
+def _dot_ends(text: str, word: str, follow: int, where: int, adjacent: bool) -> bool:
+    """Whether a single full stop after ``word`` ends a sentence, when class ``follow`` comes next at position ``where``."""
     low = word.lower()
     if low in ENDING:
         return follow != DIGIT
@@ -225,8 +226,10 @@ def lex(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     stops = np.flatnonzero(stop & ~adjoining)
     follow, where, touching = after[stops], np.minimum(stops + 1, n - 1), ~gap[stops]
     closing = touching & (follow == CLOSE)
-    for _ in range(3):  # stray closing marks belong to what they follow
-        hit = closing & (k[where] == CLOSE)
+    while True:  # stray closing marks belong to what they follow
+        hit = closing & (k[where] == CLOSE) & (follow != NEWLINE) & (where < n - 1)
+        if not hit.any():
+            break
         follow = np.where(hit, after[where], follow)
         touching = np.where(hit, ~gap[where], touching)
         where = np.where(hit, np.minimum(where + 1, n - 1), where)
@@ -249,12 +252,8 @@ def lex(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ends[dashed & (second[np.minimum(stops, n - 1)] == LOWER)] = False
     ends[single & touching & ~np.isin(follow, (UPPER, CASELESS, THAI, NEWLINE, SPACE, OPEN, CLOSE))] = False
     # An ellipsis goes on in the same script without capitals.
-    letter = np.where(inner, k[np.maximum(stops - 1, 0)], OTHER)
-    back = np.maximum(stops - 1, 0)
-    for _ in range(6):
-        more = stop[back] & (back > 0)
-        back = np.where(more, back - 1, back)
-    letter = k[back]
+    other = np.maximum.accumulate(np.where(stop, 0, np.arange(n)))  # the last visible character that is no stop
+    letter = k[other[stops]]
     ends[ellipsis & np.isin(follow, (CASELESS, THAI)) & (follow == letter)] = False
     ends[ellipsis & (follow == DIGIT)] = False
     for i in np.flatnonzero((follow == LOWER) & ~full & ~ellipsis & ~touching):
@@ -262,12 +261,19 @@ def lex(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             ends[i] = True
     # A single full stop after something short may be an abbreviation.
     plain = np.ones(len(stops), dtype=bool)
-    for d in range(1, 7):
+    for d in range(1, _LONGEST_LOWER + 1):
         plain &= k[np.maximum(stops - d, 0)] == LOWER
         plain &= ~gap[np.maximum(stops - d, 0)]
-    plain &= stops > 7
+    plain &= stops > _LONGEST_LOWER
+    edge = np.isin(k, (OPEN, CLOSE, DASH, COMMA, APOSTROPHE)) | ((k == STOP) & (c != ord(".")))
+    begins = np.ones(n, dtype=bool)
+    begins[1:] = gap[:-1] | edge[:-1]
+    begins |= edge
+    word_start = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
     for i in np.flatnonzero(single & ends & ~plain & (follow != NEWLINE)):
-        ends[i] = _dot_ends(text, int(seen[stops[i]]), int(follow[i]), int(seen[where[i]]), bool(touching[i]))
+        at = int(seen[stops[i]])
+        word = text[int(seen[word_start[stops[i]]]) : at].strip("()[]\"'“”‘’„«»「」『』（）")
+        ends[i] = _dot_ends(text, word, int(follow[i]), int(seen[where[i]]), bool(touching[i]))
     last = np.where(closing, where, stops + 1)
     real = np.flatnonzero(ends)
     # In speech after a dash a stop goes on if the next stop is followed by a dash and a lower-case letter.
@@ -298,11 +304,18 @@ def lex(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         end = ended[at] & ~goes_on[at]
         for i in np.flatnonzero(ended[at] & (after[at] == LOWER)):
             end[i] = _particle(text, int(seen[min(at[i] + 1, n - 1)]))
-        for i in np.flatnonzero(end & np.isin(after[at], (CASELESS,))):
-            end[i] = not _reported(text, int(seen[at[i]]), int(seen[at[i] + 1]), q)
+        caseless = np.flatnonzero(end & np.isin(after[at], (CASELESS,)))
+        if len(caseless):
+            opens = np.flatnonzero(c == ord(_OPENER.get(q, q)))
+            for i in caseless:
+                opened = np.searchsorted(opens, at[i]) - 1
+                introduced = opened >= 0 and opens[opened] > 0 and chr(c[opens[opened] - 1]) in ":："
+                end[i] = not _reported(text, introduced, int(seen[at[i] + 1]))
         cut = at + 1
-        for _ in range(3):
+        while True:
             more = (cut < n) & (k[np.minimum(cut, n - 1)] == CLOSE) & ~gap[cut - 1]
+            if not more.any():
+                break
             cut = np.where(more, cut + 1, cut)
         emit(np.where(end, SYMBOL[f"{q}, end"], SYMBOL[f"{q}, go on"]), at, cut)
 
@@ -311,11 +324,9 @@ def lex(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_symbols).astype(np.int64)[order], np.concatenate(out_cut)[order], seen, k
 
 
-def _reported(text: str, close: int, following: int, quote: str) -> bool:
-    """Whether the caseless clause after a closing quote reports it."""
-    opener = next((o for o, x in QUOTES.items() if x == quote), quote)
-    begin = text.rfind(opener, max(0, close - 2000), close)
-    if begin > 0 and text[:begin].rstrip()[-1:] in (":", "：") and text[following] != "と":
+def _reported(text: str, introduced: bool, following: int) -> bool:
+    """Whether the caseless clause after a closing quote reports it; speech that a colon has introduced only if the clause takes it up."""
+    if introduced and text[following] != "と":
         return False
     clause = _SEGMENT.match(text, following).group()
     return clause.startswith(REPORT_STARTS) or clause.endswith(REPORT_ENDS)
@@ -352,23 +363,28 @@ def batch_spans(texts: list[str], most_chars: int = 1_000_000) -> Iterator[tuple
         begin = end
 
 
+_ROW_SPANS = "chunk_id string, starts array<int>, ends array<int>"
+
+
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sentences of each row of a batch in one row."""
     for batch in batches:
         ids, texts = batch["chunk_id"].to_numpy(), batch["text"].tolist()
         for which, starts, ends in batch_spans(texts):
-            yield pd.DataFrame({"chunk_id": ids[which], "start_pos": starts.astype(np.int32), "end_pos": ends.astype(np.int32)})
+            rows, first = np.unique(which, return_index=True)
+            if not len(rows):
+                continue
+            parted = [np.split(x.astype(np.int32), first[1:]) for x in (starts, ends)]
+            yield pd.DataFrame({"chunk_id": ids[rows], "starts": parted[0], "ends": parted[1]})
 
 
 def split_sentences(chunks: DataFrame) -> DataFrame:
     """(chunk_id, start_pos, end_pos) of every sentence of every distinct chunk, in characters.
 
     Null, empty and blank texts have no sentences, rows without chunk_id are left out, and a chunk delivered more than once
-    counts once, whichever of its rows is read. Every visible character is in exactly one sentence.
+    counts once: the places of its sentences, not its texts, are shuffled and made distinct, and should its texts differ, the greatest list
+    of places counts. Every visible character is in exactly one sentence.
     """
-    return distinct_texts(chunks).mapInPandas(_spans, "chunk_id string, start_pos int, end_pos int")
-
-
-def distinct_texts(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, text), one row per chunk_id that has a text."""
-    rows = chunks.select("chunk_id", "text").where("chunk_id IS NOT NULL AND length(text) > 0")
-    return rows.groupBy("chunk_id").agg(F.max("text").alias("text"))
+    rows = chunks.select("chunk_id", "text").where("chunk_id IS NOT NULL AND length(text) > 0").mapInPandas(_spans, _ROW_SPANS)
+    once = rows.groupBy("chunk_id").agg(F.max(F.struct("starts", "ends")).alias("x"))
+    return once.select("chunk_id", F.inline(F.arrays_zip("x.starts", "x.ends"))).toDF("chunk_id", "start_pos", "end_pos")

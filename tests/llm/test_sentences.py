@@ -7,6 +7,10 @@ from hypothesis import strategies as st
 
 from fablespark.llm import sentences as se
 
+def sentences_of(text):
+    return [text[a:b] for a, b in zip(*se.sentence_spans(text))]
+
+
 GOLDEN = [
     ["Dr. Pell walked 17.3 ells to Elmgate, i.e. half the way.", "Was it late?", "It was 4 p.m. and dark."],
     ["She sold it to the Rope Co.", "The Rope Co. paid.", "They came at 4 a.m.", "Nobody spoke."],
@@ -92,3 +96,12 @@ def test_operator(spark):
     out = se.split_sentences(spark.createDataFrame(rows, "chunk_id string, text string, start_pos int")).collect()
     assert sorted((r["chunk_id"], r["start_pos"], r["end_pos"]) for r in out) == [("a", 0, 4), ("a", 5, 9)]
     assert se.split_sentences(spark.createDataFrame([], "chunk_id string, text string")).count() == 0
+
+
+def test_no_look_back_is_limited():
+    speech = "走" * 3000
+    assert sentences_of(f"“{speech}。”他说。") == [f"“{speech}。”他说。"]
+    assert sentences_of("He came.)))))) Then he left.") == ["He came.))))))", "Then he left."]
+    assert sentences_of("The shop closed on Jan. 5. We left.") == ["The shop closed on Jan. 5.", "We left."]
+    dotted = "a." * 40
+    assert sentences_of(f"See {dotted}b for more. Done.") == [f"See {dotted}b for more.", "Done."]
