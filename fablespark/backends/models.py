@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 from urllib.request import Request, urlopen
 
@@ -46,6 +47,56 @@ class HashedEmbedding:
         return True
 
 
+class HttpEmbedding:
+    """An embedding service: one POST per batch of texts."""
+
+    def __init__(self, url: str, model: str, prefixes: dict[str, str] | None = None, batch: int = 32, timeout: float = 300):
+        self.url, self.model, self.prefixes, self.batch, self.timeout = url.rstrip("/"), model, prefixes or {}, batch, timeout
+
+    def embed(self, texts: list[str], kind: str = "raw") -> np.ndarray:
+        found: list[list[float]] = []
+        for k in range(0, len(texts), self.batch):
+            part = [self.prefixes.get(kind, "") + t for t in texts[k : k + self.batch]]
+            request = Request(f"{self.url}/api/embed", json.dumps({"model": self.model, "input": part}).encode(), {"Content-Type": "application/json"})
+            with urlopen(request, timeout=self.timeout) as answer:
+                found += json.load(answer)["embeddings"]
+        return np.array(found)
+
+    def token_count(self, text: str) -> int:
+        return count_words(text)
+
+    def check(self, timeout: float = 5) -> bool:
+        return HttpModel(self.url, self.model).check(timeout)
+
+
+class SentenceEmbedding:
+    """A local sentence encoder, where its package is installed."""
+
+    def __init__(self, model: str, prefixes: dict[str, str] | None = None, batch: int = 32):
+        from sentence_transformers import SentenceTransformer
+
+        self.model, self.prefixes, self.batch = SentenceTransformer(model), prefixes or {}, batch
+
+    def embed(self, texts: list[str], kind: str = "raw") -> np.ndarray:
+        return np.asarray(self.model.encode([self.prefixes.get(kind, "") + t for t in texts], batch_size=self.batch))
+
+    def token_count(self, text: str) -> int:
+        return len(self.model.tokenizer.tokenize(text))
+
+    def check(self) -> bool:
+        return True
+
+
+class Cached:
+    """A text model that remembers its last answers within a task; equal prompts are asked once."""
+
+    def __init__(self, model: TextModel, most: int = 10_000):
+        self.ask = lru_cache(most)(model)
+
+    def __call__(self, prompt: str) -> str:
+        return self.ask(prompt)
+
+
 class HttpModel:
     """A generation service: one POST per prompt, not streamed."""
 
@@ -73,7 +124,7 @@ _NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")
 
 
 def rule_based_extractor(prompt: str) -> str:
-    """Entities of a prompt's text by capitals: the model used where none is given. The answer is JSON, like a model's."""
+    """Entities of a prompt's text by capitals: a test double of a model, used where none is given. The answer is JSON, like a model's."""
     text = prompt.rpartition("TEXT:")[2]
     names = dict.fromkeys(_NAME.findall(text))
     places = {m.group(1) for m in re.finditer(r"\b(?:in|near|from|of|at|to) ([A-Z][a-z]+)\b", text)}
@@ -91,13 +142,20 @@ def rule_based_statistics(prompt: str) -> str:
     return json.dumps({"mentions_by_others": n, "dialogues": said, "actions": max(0, n - said), "new_aliases": []})
 
 
+def rule_based_structure(prompt: str) -> str:
+    """The entities of a structuring prompt with their longest description; a test double of a model, with its form of answer."""
+    items = json.loads(prompt.partition("\n")[2])
+    rows = [{**e, "description": max(e.get("description") or [""], key=len), "aliases": sorted(set(e.get("aliases") or []))} for e in items]
+    return json.dumps({"entities": rows}, ensure_ascii=False)
+
+
 def same_scene_rule(prompt: str) -> str:
     """YES if the chunks of a prompt share two words of five letters or more."""
     parts = [set(re.findall(r"\w{5,}", p.lower())) for p in prompt.split("CHUNK")[1:]]
     return "YES" if len(parts) < 2 or len(parts[0] & parts[1]) >= 2 else "NO"
 
 
-REGISTRY: dict[str, Callable] = {"hashed": HashedEmbedding, "http": HttpModel, "rules": lambda: rule_based_extractor, "rule statistics": lambda: rule_based_statistics, "same scene": lambda: same_scene_rule}
+REGISTRY: dict[str, Callable] = {"hashed": HashedEmbedding, "http embedding": HttpEmbedding, "sentence": SentenceEmbedding, "http": HttpModel, "rules": lambda: rule_based_extractor, "rule statistics": lambda: rule_based_statistics, "rule structure": lambda: rule_based_structure, "same scene": lambda: same_scene_rule}
 
 
 def create(name: str, **parameters):

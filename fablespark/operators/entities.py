@@ -63,9 +63,10 @@ def longest_last(value: str, order: Column) -> Column:
     return F.max_by(value, F.struct(F.length(value), order))
 
 
-def merge_groups(rows: DataFrame, keys: list[str], order: str, strings: list[str] = (), chapters: str | None = "source_chapters") -> DataFrame:
+def merge_groups(rows: DataFrame, keys: list[str], order: str, strings: list[str] = (), chapters: str | None = "source_chapters", records: list[str] = ()) -> DataFrame:
     """One entity per key: name the longest (first of equals), aliases all aliases and names but that one, string fields the
-    longest (last of equals), chapters united. ``order`` is a numeric column without ties; null arrays count as empty.
+    longest (last of equals), chapters united, lists of ``records`` (arrays of structs) united with equal records once, in order.
+    ``order`` is a numeric column without ties; null arrays count as empty.
     """
     o = F.col(order)
     aliases = F.flatten(F.collect_set(F.concat(list_or_empty(F.col("aliases")), F.array("name"))))
@@ -73,6 +74,8 @@ def merge_groups(rows: DataFrame, keys: list[str], order: str, strings: list[str
     columns += [longest_last(c, o).alias(c) for c in strings]
     if chapters:
         columns.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set(list_or_empty(F.col(chapters), "array<int>"))))).alias(chapters))
+    for c in records:
+        columns.append(F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_set(list_or_empty(F.col(c), rows.schema[c].dataType.simpleString()))), lambda r: r.isNotNull()))).alias(c))
     out = rows.groupBy(*keys).agg(*columns)
     kept = F.array_sort(F.array_distinct(F.filter("_a", lambda a: a.isNotNull() & (a != F.col("name")))))
     return out.withColumn("aliases", kept).drop("_a")
@@ -248,16 +251,18 @@ def counts_with_total(entities: DataFrame, key: str) -> DataFrame:
 
 
 def dedup_report(raw: DataFrame, within: DataFrame, final: DataFrame) -> DataFrame:
-    """Per type: raw, after chapters, final, merged, reduction in percent and averages of chapters and aliases."""
-    n = lambda df, c: df.groupBy("entity_type").agg(F.count("*").alias(c))
-    more = final.groupBy("entity_type").agg(
+    """Per type, and over all with entity_type null and is_total 1: raw, after chapters, final, merged, reduction in percent, averages of chapters and aliases."""
+    n = lambda df, c: df.rollup("entity_type").agg(F.grouping_id().alias("is_total"), F.count("*").alias(c)).na.fill("", ["entity_type"])
+    more = final.rollup("entity_type").agg(
+        F.grouping_id().alias("is_total"),
         F.count("*").alias("final"),
         F.round(F.avg(F.size("source_chapters")), 6).alias("avg_chapters"),
         F.sum(F.size("aliases")).alias("total_aliases"),
         F.round(F.avg(F.size("aliases")), 6).alias("avg_aliases"),
     )
-    out = n(raw, "raw").join(n(within, "within"), "entity_type", "left").join(more, "entity_type", "left").na.fill(0, ["within", "final"])
-    return out.select("entity_type", "raw", (F.col("raw") - F.col("within")).alias("removed_within"), (F.col("within") - F.col("final")).alias("merged_across"), "final", F.round(F.try_divide(100.0 * (F.col("raw") - F.col("final")), F.col("raw")), 2).alias("reduction_pct"), "avg_chapters", "total_aliases", "avg_aliases")
+    key = ["entity_type", "is_total"]
+    out = n(raw, "raw").join(n(within, "within"), key, "left").join(more.na.fill("", ["entity_type"]), key, "left").na.fill(0, ["within", "final"])
+    return out.select(F.when(F.col("is_total") == 0, F.col("entity_type")).alias("entity_type"), "is_total", "raw", (F.col("raw") - F.col("within")).alias("removed_within"), (F.col("within") - F.col("final")).alias("merged_across"), "final", F.round(F.try_divide(100.0 * (F.col("raw") - F.col("final")), F.col("raw")), 2).alias("reduction_pct"), "avg_chapters", "total_aliases", "avg_aliases")
 
 
 def entity_summary(entities: DataFrame) -> DataFrame:
@@ -265,6 +270,18 @@ def entity_summary(entities: DataFrame) -> DataFrame:
     return entities.select("name", F.size("aliases").alias("aliases"), F.size("source_chapters").alias("chapters"), "members").orderBy("name")
 
 
+def entities_where(entities: DataFrame, name: str | None = None, chapter: int | None = None) -> DataFrame:
+    """The rows of a name (case and outer blanks ignored) or of a chapter, or of both."""
+    out = entities if name is None else entities.where(tx.normalise("name") == tx.normalise(F.lit(name)))
+    return out if chapter is None else out.where(F.col("chapter_num") == chapter)
+
+
+def by_type(entities: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, entities): per key a map from type to its names in order, the nested form of the rows."""
+    per = entities.groupBy(*keys, "entity_type").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return per.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "names")))).alias("entities"))
+
+
 def entity_listing(entities: DataFrame) -> DataFrame:
     """(entity_type, name, also): entities in order of type and name, aliases joined."""
     return entities.select("entity_type", "name", F.array_join("aliases", ", ").alias("also")).orderBy("entity_type", "name")

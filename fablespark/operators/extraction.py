@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fablespark.functions import text as tx
 from fablespark.functions.jsonfix import parse_lenient
-from fablespark.operators.entities import merge_raw, named
+from fablespark.operators.entities import merge_aliases, merge_raw, named
 from fablespark.operators.mentions import entities_in_texts
 from fablespark.params import ExtractionParams
 from fablespark.schemas import LEGACY_TYPES, RAW_ENTITY, STATS_RESPONSE
@@ -63,12 +63,21 @@ def extract_raw(chunks: DataFrame, factory: Callable, keys: list[str], context:
 
 
 def structure_entities(raw: DataFrame, factory: Callable, keys: list[str], p: ExtractionParams = ExtractionParams()) -> DataFrame:
-    """Raw entities merged by type and name, and structured by one call per chapter and group of types; empty groups cost no call."""
+    """(keys, types, entity_type, name, description, aliases, error): raw entities merged by type and name, and structured by one call per chapter and group of types.
+
+    Groups without entities cost no call. Where the answer can't be read, the merged entities come as they are, descriptions joined, with
+    the error or ``unreadable``.
+    """
     merged = merge_raw(raw.withColumn("_o", F.struct(*keys, "position").cast("string")), [*keys, "entity_type", "name"], "_o") if p.merge_before_structure else raw.withColumn("description", F.array("description"))
     group = F.coalesce(*[F.when(F.col("entity_type").isin(g), F.lit("+".join(g))) for g in STRUCTURE_GROUPS])
     per = merged.withColumn("types", group).where("types IS NOT NULL").groupBy(*keys, "types").agg(F.to_json(F.array_sort(F.collect_list(F.struct("entity_type", "name", "description", "aliases")))).alias("items"))
-    asked = call_model(per.select(*keys, "types", F.concat(F.lit("Structure these entities as JSON.\n"), F.col("items")).alias("prompt")), factory, p.max_retries)
-    return asked.select(*keys, "types", "response", "error")
+    asked = call_model(per.select(*keys, "types", "items", F.concat(F.lit("Structure these entities as JSON.\n"), F.col("items")).alias("prompt")), factory, p.max_retries)
+    answer = parse_lenient(F.col("response"), ENTITIES)["entities"]
+    sent = F.from_json("items", "array<struct<entity_type: string, name: string, description: array<string>, aliases: array<string>>>")
+    plain = F.transform(sent, lambda e: F.struct(e["entity_type"].alias("entity_type"), e["name"].alias("name"), F.array_join(e["description"], " ").alias("description"), e["aliases"].alias("aliases")))
+    read = F.transform(answer, lambda e: F.struct(e["entity_type"].alias("entity_type"), e["name"].alias("name"), e["description"].alias("description"), e["aliases"].alias("aliases")))
+    rows = asked.select(*keys, "types", F.when(answer.isNotNull(), F.col("error")).otherwise(F.coalesce("error", F.lit("unreadable"))).alias("error"), F.explode(F.coalesce(read, plain)).alias("e"))
+    return named(rows.select(*keys, "types", "e.*", "error"))
 
 
 def legacy_prompts(chapters: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,6 +109,13 @@ def character_statistics(chunks: DataFrame, characters: DataFrame, factory: Call
     )
 
 
+def with_new_aliases(characters: DataFrame, statistics: DataFrame, on: list[str]) -> DataFrame:
+    """The characters with the aliases that ``character_statistics`` has found merged into theirs; others stay as they are."""
+    found = statistics.select(*on, "name", F.col("new_aliases").alias("_new"))
+    merged = F.when(F.col("_new").isNotNull(), merge_aliases(F.col("aliases"), F.col("_new"))).otherwise(F.col("aliases"))
+    return characters.join(found, [*on, "name"], "left").withColumn("aliases", merged).select(*characters.columns)
+
+
 def clean_up(entities: DataFrame, factory: Callable, p: ExtractionParams = ExtractionParams()) -> DataFrame:
     """One prompt per type over its entities; where the answer can't be read, the type stays as it is."""
     per = entities.groupBy("entity_type").agg(F.array_sort(F.collect_list(F.struct("name", "aliases"))).alias("items"))

@@ -101,6 +101,12 @@ def entity_index(entities: DataFrame, keys: list[str], chapter: str = "chapter_n
     return entities.groupBy(*keys).agg(F.array_sort(F.collect_set(chapter)).alias("chapters"))
 
 
+def first_seen_index(entities: DataFrame, keys: list[str], order: str = "mention_id", chapter: str = "chapter_num") -> DataFrame:
+    """(keys, chapters): chapters of each entity, distinct and in the order in which its records first name them."""
+    first = entities.groupBy(*keys, chapter).agg(F.min(order).alias("_o"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", chapter))), lambda x: x[chapter]).alias("chapters"))
+
+
 def presence_matrix(entities: DataFrame, key: list[str], column: str, values: list) -> DataFrame:
     """One row per key and one column per value, X where the key has it and an empty string elsewhere."""
     wide = entities.groupBy(*key).pivot(column, values).agg(F.first(F.lit("X")))

@@ -94,6 +94,13 @@ def detect_scenes(chunks: DataFrame, keys: list[str], order: str, p: SceneProfil
     return build_scenes(number_scenes(marked, keys, order), keys, order, p, **columns)
 
 
+def scene_lists(scenes: DataFrame, keys: list[str], tokens: str = "tokens", chunks: str = "num_chunks") -> DataFrame:
+    """(keys, scenes, scene_tokens, boundaries, avg_tokens): per chapter the tokens of its scenes in order and after which of its chunks scenes end."""
+    rows = scenes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("scene_number", F.col(tokens).alias("t"), F.col(chunks).alias("n")))).alias("s"))
+    ends = F.transform("s", lambda x, i: F.aggregate(F.slice("s", 1, i + 1), F.lit(0).cast("long"), lambda acc, y: acc + y["n"]))
+    return rows.select(*keys, F.size("s").alias("scenes"), F.transform("s", lambda x: x["t"]).alias("scene_tokens"), F.slice(ends, 1, F.size("s") - 1).alias("boundaries"), F.round(F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["t"]) / F.size("s"), 6).alias("avg_tokens"))
+
+
 def scene_report(scenes: DataFrame, key: str) -> DataFrame:
     """Scenes, chunks, sizes and similarities per key, and a total row with key null; every row has all columns."""
     return scenes.rollup(key).agg(

@@ -21,7 +21,7 @@ from fablespark.operators import mentions as mn
 from fablespark.operators import profiles as pf
 from fablespark.operators import retrieval as rt
 from fablespark.operators import scenes as sc
-from fablespark.params import ChunkProfile, SceneProfile
+from fablespark.params import ChunkProfile, ExtractionParams, SceneProfile
 from fablespark.runtime import table
 from fablespark.schemas import TYPES
 from fablespark.streaming import ingest
@@ -322,13 +322,13 @@ def stored_scenes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_scenes(spark: SparkSession, d: str) -> DataFrame:
-    """Scenes of chunks where a backend says whether two chunks are one scene."""
+    """Scenes of chunks where a backend says whether two chunks, whole, are one scene."""
     keys = ["book_number", "chapter_number"]
     from pyspark.sql import Window
 
     rows = _chunks(spark, d, *keys, "text", "token_count").select(*keys, "chunk_id", "text", "token_count")
     following = F.lead("text").over(Window.partitionBy(*keys).orderBy("chunk_id"))
-    prompt = F.concat(F.lit("CHUNK "), tx.preview(F.col("text")), F.lit(" CHUNK "), tx.preview(following))
+    prompt = F.concat(F.lit("CHUNK "), F.coalesce(F.nullif("text", F.lit("")), F.lit("[Empty chunk]")), F.lit(" CHUNK "), F.coalesce(F.nullif(following, F.lit("")), F.lit("[Empty chunk]")))
     asked = ex.call_model(rows.withColumn("prompt", prompt), lambda: create("same scene"))
     numbered = sc.scenes_by_answers(asked, keys, "chunk_id", F.coalesce(formatting.yes_or_no(F.col("response")), F.lit(True))).withColumn("sim", F.lit(None).cast("double"))
     built = sc.build_scenes(numbered, keys, "chunk_id", SceneProfile(drop_short=False), text="text", tokens="token_count", chunk="chunk_id")
@@ -441,7 +441,8 @@ def context_sections(spark: SparkSession, d: str) -> DataFrame:
     e = en.with_clean_aliases(_entities(spark, d))
     texts = _chapters(spark, d).select(*BOOK, F.array_join("paragraphs", "\n\n").alias("text"))
     told = mn.entities_in_texts(texts, BOOK, _entities(spark, d), ["book_num", "entity_type", "name"], ["book_num"])
-    return mn.context_sections(mn.seen_before(e, e), BOOK, mentioned=told)
+    p = ExtractionParams()
+    return mn.context_sections(mn.seen_before(e, e), BOOK, p.context_limit, p.alias_limit, told if p.context_filter else None)
 
 
 # --- Entities ---------------------------------------------------------------------------------------------------------------------------
@@ -580,7 +581,7 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def structured(spark: SparkSession, d: str) -> DataFrame:
     """Extracted entities merged and structured, one call per chapter and group of types."""
-    return ex.structure_entities(ex.extract_raw(_texts(spark, d), lambda: create("rules"), [*BOOK, "chunk_id"]), lambda: (lambda prompt: prompt.partition("\n")[2]), BOOK)
+    return ex.structure_entities(ex.extract_raw(_texts(spark, d), lambda: create("rules"), [*BOOK, "chunk_id"]), lambda: create("rule structure"), BOOK)
 
 
 @query()

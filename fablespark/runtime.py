@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from functools import reduce
 
@@ -18,7 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder, removed at the end.
+
+    Checkpoints that nothing refers to any more are deleted by Spark where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
@@ -26,7 +31,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fablespark-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="fablespark-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -45,9 +52,9 @@ def small_rows(df: DataFrame, most: int = 10_000) -> list:
     return rows
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    """UNION ALL of frames with equal columns."""
-    return reduce(DataFrame.unionByName, frames)
+def union_all(frames: list[DataFrame], missing: bool = False) -> DataFrame:
+    """UNION ALL of frames with equal columns; with ``missing`` columns that a frame lacks are null in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=missing), frames)
 
 
 def cleaned(c: Column) -> Column:

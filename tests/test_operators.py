@@ -232,8 +232,10 @@ def test_extraction_and_structuring(spark):
     chunks = spark.createDataFrame([(1, "Ana Bell met Tom Reed in Whitford. Ana Bell left."), (2, "nothing here")], "chapter_num int, text string")
     raw = ex.extract_raw(chunks, lambda: create("rules"), ["chapter_num"])
     assert {(r["entity_type"], r["name"]) for r in raw.collect()} == {("character", "Ana Bell"), ("character", "Tom Reed"), ("location", "Whitford")}
-    asked = ex.structure_entities(raw, lambda: len and (lambda p: p), ["chapter_num"]).collect()
-    assert sorted(r["types"] for r in asked) == ["character+group", "location"]
+    for model, error in ((create("rule structure"), None), (lambda prompt: "no JSON", "unreadable")):
+        rows = ex.structure_entities(raw, lambda model=model: model, ["chapter_num"]).collect()
+        assert sorted((r["types"], r["name"]) for r in rows) == [("character+group", "Ana Bell"), ("character+group", "Tom Reed"), ("location", "Whitford")]
+        assert {r["error"] for r in rows} == {error} and all(r["description"] for r in rows)
     assert ex.legacy_prompts(chunks, ["chapter_num"]).count() == 16
 
 
@@ -268,3 +270,71 @@ def test_profiles(spark):
     assert pf.chapter_summaries(df, ["k"], lambda: len, "t").columns == ["k", "summary", "error"]
     p = spark.createDataFrame([(1, 0, "la\nli\nlo"), (1, 1, "prose " * 30)], "k int, position int, paragraph string")
     assert [r["position"] for r in pf.without_songs(p, ["k"]).collect()] == [1]
+
+
+def test_mentions_of_terms_of_all_forms(spark):
+    """Every form of term is found as the predicate finds it in all pairs of text and term."""
+    import itertools
+    import random
+
+    from fablespark.functions import text as tx
+
+    rng = random.Random(4)
+    parts = ["ana", "bo", "x", "o'brien", "re-ed", "of", "...", "тан", "é", "b_2"]
+    terms = sorted({" ".join(rng.choice(parts) for _ in range(rng.choice((1, 1, 2, 2, 3, 4)))) for _ in range(60)} | {"a  b", "(x)", "x y"})
+    texts = ["".join(rng.choice([*parts, "zz"]) + rng.choice([" ", " ", " ", "\n", ", ", "", "  "]) for _ in range(rng.randint(0, 14))) for _ in range(60)] + ["", "a  b", "Ax yZ", None]
+    t = spark.createDataFrame([(k, 1 + k % 2, x) for k, x in enumerate(texts)], "id int, book int, text string")
+    e = spark.createDataFrame([(b, x) for b in (1, 2) for x in terms], "book int, term string")
+    wanted = {tuple(r) for r in t.crossJoin(e.withColumnRenamed("book", "b")).where(F.col("book") == F.col("b")).where(tx.mentions(F.col("text"), F.col("term"))).select("id", "book", "term").collect()}
+    assert len(wanted) > 100
+    found = mn.mentioned_terms(t, ["id"], e, ["book"])
+    assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(wanted)
+    plan = mn.mentioned_terms(t, ["id"], e, ["book"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "(book" in line and "key" not in line and "id" not in line]
+    assert list(itertools.islice(found.columns, 3)) == ["id", "book", "term"]
+
+
+def test_known_counts(spark):
+    rows = [(1, c, "t", n) for c, n in ((1, "a"), (1, "b"), (2, "a"), (2, "c"), (4, "d"))] + [(2, 1, "t", "a")]
+    found = mn.known_counts(spark.createDataFrame(rows, "book_num int, chapter_num int, entity_type string, name string"))
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 2), (1, 4, 3)}
+
+
+def test_records_and_schemas_are_united(spark):
+    from fablespark.runtime import union_all
+
+    kind = "k int, o int, name string, aliases array<string>, source_chapters array<int>, traits array<struct<t:string,n:int>>"
+    rows = [(1, 1, "Ana", ["A"], [2], [("kind", 1), ("old", 2)]), (1, 2, "Ana Bell", None, [1], [("kind", 1), None]), (1, 3, "An", [], None, None)]
+    merged = en.merge_groups(spark.createDataFrame(rows, kind), ["k"], "o", records=["traits"]).collect()
+    assert [(r["name"], r["aliases"], r["source_chapters"], [tuple(t) for t in r["traits"]]) for r in merged] == [("Ana Bell", ["A", "An", "Ana"], [1, 2], [("kind", 1), ("old", 2)])]
+    both = union_all([spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2, 0.5)], "a int, c double")], missing=True)
+    assert {tuple(r) for r in both.select("a", "b", "c").collect()} == {(1, "x", None), (2, None, 0.5)}
+
+
+def test_new_aliases_are_merged_back(spark):
+    people = spark.createDataFrame([(1, "Ana", ["Annie"]), (1, "Tom", None)], "book_num int, name string, aliases array<string>")
+    found = spark.createDataFrame([(1, "Ana", ["annie", "A."])], "book_num int, name string, new_aliases array<string>")
+    assert {r["name"]: r["aliases"] for r in ex.with_new_aliases(people, found, ["book_num"]).collect()} == {"Ana": ["A.", "Annie"], "Tom": None}
+
+
+def test_small_reports(spark):
+    rows = [(1, 1, 1, "character", "Ana", [1], ["x"]), (2, 1, 1, "character", "ana ", [1], []), (3, 1, 3, "location", "Elm", [3], []), (4, 1, 2, "character", "Ana", [2], [])]
+    e = spark.createDataFrame(rows, "mention_id bigint, book_num int, chapter_num int, entity_type string, name string, source_chapters array<int>, aliases array<string>")
+    report = {(r["entity_type"], r["is_total"]): r.asDict() for r in en.dedup_report(e, e.where("mention_id <> 2"), e.where("mention_id IN (1, 3)")).collect()}
+    assert report.keys() == {("character", 0), ("location", 0), (None, 1)} and (report[None, 1]["raw"], report[None, 1]["final"], report[None, 1]["reduction_pct"]) == (4, 2, 50.0)
+    assert {r["mention_id"] for r in en.entities_where(e, "ANA", 1).collect()} == {1, 2} and en.entities_where(e).count() == 4
+    assert en.by_type(e.where("mention_id <> 2"), ["book_num"]).collect()[0]["entities"] == {"character": ["Ana"], "location": ["Elm"]}
+    late = e.withColumn("mention_id", -F.col("mention_id"))
+    assert {r["name"]: r["chapters"] for r in mn.first_seen_index(late, ["name"]).collect()} == {"Ana": [2, 1], "ana ": [1], "Elm": [3]}
+    scenes = spark.createDataFrame([(1, 2, 30, 2), (1, 1, 10, 3), (1, 3, 5, 1)], "chapter int, scene_number int, tokens int, num_chunks int")
+    r = sc.scene_lists(scenes, ["chapter"]).collect()[0]
+    assert (r["scenes"], r["scene_tokens"], r["boundaries"], r["avg_tokens"]) == (3, [10, 30, 5], [3, 5], 15.0)
+
+
+def test_backends_by_name_and_cache():
+    from fablespark.backends import models
+
+    asked = []
+    model = models.Cached(lambda prompt: asked.append(prompt) or prompt.upper())
+    assert [model("a"), model("a"), model("b")] == ["A", "A", "B"] and asked == ["a", "b"]
+    assert models.create("http embedding", url="http://127.0.0.1:9/", model="m").check(timeout=0.2) is False

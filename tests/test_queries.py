@@ -41,7 +41,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_dense_hybrid_has_hits_of_the_dense_side_only(spark, sf):
+def test_hybrid_has_hits_of_the_dense_side_only(spark, sf):
     lexical = {(r["query_id"], r["chunk_id"]) for r in q.queries()["bm25_top_k"](spark, sf).collect()}
-    fused = {(r["query_id"], r["chunk_id"]) for r in q.queries()["dense_hybrid_top_k"](spark, sf).collect()}
+    fused = {(r["query_id"], r["chunk_id"]) for r in q.queries()["hybrid_top_k"](spark, sf).collect()}
     assert fused - lexical

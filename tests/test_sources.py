@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 
+from fablespark.sources import files
 from fablespark.sources.epub import read_epub
 from fablespark.sources.files import copy, list_files, read_json, read_lines, read_whole, remove, write_json, write_lines
 from fablespark.streaming import ingest
@@ -64,3 +65,17 @@ def test_remembered_entities(spark, tmp_path):
 def test_active_entity(spark):
     turns = spark.createDataFrame([(1, 1, "A"), (1, 2, None), (1, 3, "B"), (2, 1, None)], "conv_id int, turn int, entity string")
     assert [r["active"] for r in ingest.active_entity(turns).orderBy("conv_id", "turn").collect()] == ["A", "A", "B", None]
+
+
+def test_documents_sizes_and_patterns(spark, tmp_path):
+    df = spark.createDataFrame([(2, "ä", [1]), (1, None, None)], "b int, a string, c array<int>")
+    files.write_document(df.orderBy("b"), str(tmp_path / "doc"))
+    text = files.read_whole(spark, str(tmp_path / "doc")).collect()[0][0]
+    assert json.loads(text) == [{"a": None, "b": 1, "c": None}, {"a": "ä", "b": 2, "c": [1]}] and '\n    "a": "ä"' in text
+    files.write_tables({"t": df}, str(tmp_path / "tables"))
+    assert spark.read.parquet(str(tmp_path / "tables" / "t.parquet")).count() == 2
+    (tmp_path / "src").mkdir()
+    for name in ("a.txt", "b.txt", "c.md"):
+        (tmp_path / "src" / name).write_text("xyz")
+    assert files.size(spark, str(tmp_path / "src")) == 9
+    assert files.copy_files(spark, str(tmp_path / "src"), str(tmp_path / "dst"), "*.txt", "b*") == 1 and sorted(p.name for p in (tmp_path / "dst").glob("*.txt")) == ["a.txt"]
