@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fablespark.llm import grouping, mixing, names, packing, pii, sentences, splitting, survivors, tokens
 from fablespark.runtime import table
@@ -43,7 +44,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record that stands for each duplicate group."""
-    return survivors.survivors(table(spark, sf_dir, "entities_raw"), table(spark, sf_dir, "extractors"))
+    kept = survivors.survivors(table(spark, sf_dir, "entities_raw"), table(spark, sf_dir, "extractors"))
+    lists = {c: F.array_join(c, mark) for c, mark in (("aliases", "|"), ("source_chapters", ","))}
+    return kept.withColumns(lists).withColumn("extracted_us", F.unix_micros("extracted_at")).drop("extracted_at")
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,4 +137,27 @@ def oracle_sql() -> dict[str, str]:
                 FROM m WHERE k IS NOT NULL WINDOW w AS (PARTITION BY book_num, entity_type, k)
             ), best AS (SELECT *, count(*) OVER (PARTITION BY book_num, entity_type, k) AS ties FROM top WHERE d = md AND a = ma AND c = mc AND t = mt AND u = mu AND n > 1)
             SELECT mention_id FROM best WHERE ties = 1""",
+        # Layers by the longest chain of records above; each field from the first layer that has it, by the policy within a layer.
+        "p5_survivors": f"""
+            WITH RECURSIVE m AS (
+                SELECT mention_id AS id, book_num, entity_type, {_CLEAN.format("name")} AS k, coalesce(length(description), 0) AS d,
+                    len(list_distinct(list_filter(coalesce(aliases, []), lambda x: x IS NOT NULL AND trim(x, ' ') <> ''))) AS a,
+                    len(list_distinct(list_filter(coalesce(source_chapters, []), lambda x: x IS NOT NULL))) AS c, coalesce(epoch_us(extracted_at), -4611686018427387904) AS t, coalesce(trust, 0) AS u,
+                    name, description, aliases, source_chapters, extractor_id, extracted_at
+                FROM entities_raw LEFT JOIN extractors USING (extractor_id)
+            ), g AS (SELECT * FROM m WHERE k IS NOT NULL AND book_num IS NOT NULL AND entity_type IS NOT NULL QUALIFY count(*) OVER (PARTITION BY book_num, entity_type, k) > 1
+            ), above AS (
+                SELECT x.id AS low, y.id AS high FROM g x JOIN g y ON x.book_num = y.book_num AND x.entity_type = y.entity_type AND x.k = y.k AND y.d >= x.d AND y.a >= x.a AND y.c >= x.c AND y.t >= x.t AND y.u >= x.u
+                    AND (y.d > x.d OR y.a > x.a OR y.c > x.c OR y.t > x.t OR y.u > x.u)
+            ), chain(id, n) AS (
+                SELECT id, 1 FROM g UNION SELECT low, n + 1 FROM chain JOIN above ON high = id
+            ), placed AS (
+                SELECT g.*, row_number() OVER (PARTITION BY book_num, entity_type, k ORDER BY layer, u DESC, t DESC, d DESC, a DESC, c DESC, id) AS place,
+                    layer = 1 AND count(*) FILTER (layer = 1) OVER (PARTITION BY book_num, entity_type, k) = 1 AS alone
+                FROM g JOIN (SELECT id, max(n) AS layer FROM chain GROUP BY id) USING (id)
+            )
+            SELECT book_num, entity_type, k AS clean_name, arg_min(id, place) AS mention_id, arg_min(struct_pack(v := name), place).v AS name, arg_min(description, place) FILTER (length(trim(description, ' ')) > 0) AS description,
+                array_to_string(arg_min(aliases, place) FILTER (a > 0), '|') AS aliases, array_to_string(arg_min(source_chapters, place) FILTER (c > 0), ',') AS source_chapters, arg_min(extractor_id, place) FILTER (extractor_id IS NOT NULL) AS extractor_id,
+                epoch_us(arg_min(struct_pack(v := extracted_at), place).v) AS extracted_us, bool_or(alone) AS dominant
+            FROM placed GROUP BY ALL""",
     }
