@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fablespark.llm.sentences import sentence_spans
+
 #: Characters that are a token each, and the blanks between tokens.
 SINGLE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff"
 BLANK = " \t\n\u00a0\u3000"
@@ -20,8 +22,8 @@ PARAGRAPH, SENTENCE, LINE, CLAUSE, WORD, NONE = 5, 4, 3, 2, 1, 0
 
 _TOKEN = re.compile(TOKEN)
 _PARAGRAPH = re.compile(r"\n[ \t\r\u00a0\u3000]*\n")
-_SENTENCE_END = re.compile("[.!?…。！？؟।][\"'’”»」』）)\\]]*$")
-_CLAUSE_END = re.compile("[,;:،؛、，；：—–·][\"'’”»」』）)\\]]*$")
+#: Marks that end a clause, and marks that may follow them.
+CLAUSE_ENDS, CLOSING = ",;:،؛、，；：—–·", "\"'’”»」』）)]"
 
 PIECES = "chunk_id string, piece_index int, n_pieces int, start_pos int, end_pos int, tokens int, text string"
 
@@ -51,21 +53,27 @@ def token_counts(texts: list[str]) -> np.ndarray:
 
 
 def boundary_strengths(text: str, spans: np.ndarray) -> np.ndarray:
-    """Strength of a cut before token i (index 0 is unused)."""
+    """Strength of a cut before token i (index 0 is unused); sentences are those of the sentence splitter."""
     strengths = np.zeros(len(spans), dtype=np.int8)
-    for i in range(1, len(spans)):
-        gap = text[spans[i - 1, 1] : spans[i, 0]]
-        before = text[max(spans[i - 1, 0], spans[i - 1, 1] - 8) : spans[i - 1, 1]]
-        if "\n" in gap and _PARAGRAPH.search(gap):
-            strengths[i] = PARAGRAPH
-        elif _SENTENCE_END.search(before):
-            strengths[i] = SENTENCE
-        elif "\n" in gap:
-            strengths[i] = LINE
-        elif _CLAUSE_END.search(before):
-            strengths[i] = CLAUSE
-        else:
-            strengths[i] = WORD if gap else NONE
+    if len(spans) < 2:
+        return strengths
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    left, right = spans[:-1, 1], spans[1:, 0]
+    out = np.where(right > left, WORD, NONE)
+    at, closing = left - 1, np.isin(codes, [ord(c) for c in CLOSING])
+    while (back := closing[at] & (at > spans[:-1, 0])).any():
+        at = at - back
+    out[np.isin(codes[at], [ord(c) for c in CLAUSE_ENDS])] = CLAUSE
+    lines = np.flatnonzero(codes == 10)
+    out[np.searchsorted(lines, right) > np.searchsorted(lines, left)] = LINE
+    starts, _ = sentence_spans(text)
+    last = np.searchsorted(starts, right, side="right") - 1
+    out[(last >= 0) & (starts[np.maximum(last, 0)] >= left)] = SENTENCE
+    for m in _PARAGRAPH.finditer(text):
+        gap = int(np.searchsorted(left, m.start(), side="right")) - 1
+        if gap >= 0 and m.start() < right[gap]:
+            out[gap] = PARAGRAPH
+    strengths[1:] = out
     return strengths
 
 

@@ -40,8 +40,8 @@ def test_cuts_are_at_the_strongest_boundary():
     text = "a b c. d e f\n\ng h. i j k"
     pieces = sp.split_text(text, 8, 0)
     assert text[pieces[0][0] : pieces[0][1]] == "a b c. d e f"
-    text = "a b c. d e f g"
-    assert [text[a:b] for a, b, _ in sp.split_text(text, 5, 1)] == ["a b c.", "c. d e f g"]
+    text = "a b cats. Dogs e f g"
+    assert [text[a:b] for a, b, _ in sp.split_text(text, 5, 1)] == ["a b cats.", "cats. Dogs e f g"]
 
 
 def test_counts_of_scripts():
