@@ -109,6 +109,7 @@ class Tagger:
         leave, begin, begun, going = T[:, :1], T[0, first][:, None], T[first, on][:, None], T[on, on][:, None]
         out = np.empty((TAGS, rows), dtype=np.float32)
         a, b = (np.empty((len(on), rows), dtype=np.float32) for _ in range(2))
+        before = np.zeros((steps, TAGS, rows), dtype=np.int8)  # the tag before each tag on its best path
         for t in range(1, steps):
             last, now = scores[t - 1], scores[t]
             np.add(last, leave, out=out)
@@ -117,14 +118,20 @@ class Tagger:
             now[1::2] += a
             np.add(last[1::2], begun, out=a)
             np.add(last[2::2], going, out=b)
+            np.greater(b, a, out=before[t, 2::2], casting="unsafe")
             np.maximum(a, b, out=a)
             now[2::2] += a
-        only = np.full((TAGS, TAGS), -np.inf, dtype=np.float32)
-        only[:, 0], only[0, first], only[first, on], only[on, on] = T[:, 0], T[0, first], T[first, on], T[on, on]
+        before[:, 2::2] += first.astype(np.int8)[:, None]
+        best, other = (np.empty((steps - 1, rows), dtype=np.float32) for _ in range(2))
+        np.add(scores[:-1, 0], T[0, 0], out=best)
+        for s in range(1, TAGS):
+            np.add(scores[:-1, s], T[s, 0], out=other)
+            np.copyto(before[1:, 0], s, where=other > best)
+            np.maximum(best, other, out=best)
         tags = np.empty((steps, rows), dtype=np.int8)
-        tags[-1] = scores[-1].argmax(axis=0)
+        tags[-1], each = scores[-1].argmax(axis=0), np.arange(rows)
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = (scores[t - 1] + only[:, tags[t]]).argmax(axis=0)
+            tags[t - 1] = before[t][tags[t], each]
         return tags
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -134,7 +141,7 @@ class Tagger:
         half = OVERLAP // 2
         for units in _batches([u for k, x in enumerate(ids) for u in _units(k, len(x))]):
             places, rows = _rows(units)
-            grid = np.full((WIDTH + 2, -(-rows // 64) * 64), GAP, dtype=np.int16)  # products of whole blocks round alike for every row
+            grid = np.full((WIDTH + 2, -(-rows // 64) * 64), GAP, dtype=np.intp)  # products of whole blocks round alike for every row
             for (k, a, b), (r, at) in places.items():
                 grid[at : at + b - a, r] = ids[k][a:b]
             scores = self.emissions(grid)

@@ -199,6 +199,9 @@ class Inventor:
                 piece, own = filler(), []
             else:
                 piece, own = self.sentence()
+                if self.rng.random() < 0.25:  # what follows may come without a mark between
+                    piece = piece.rstrip(".。")
+                    own = [(a, min(b, len(piece)), k) for a, b, k in own]
             spans += [(len(out) + a, len(out) + b, k) for a, b, k in own]
             out += piece + self.rng.choice((" ", " ", " ", "\n"))
         return out, spans

@@ -1,9 +1,9 @@
 """Training of the personal-data tagger, in numpy, from labelled spans.
 
-python -m fablespark.llm.pii_training TABLES_DIRECTORY [SAMPLE_DOCUMENTS SECONDS WORKERS [RATE]]
+python -m fablespark.llm.pii_training TABLES_DIRECTORY [SAMPLE_DOCUMENTS SECONDS WORKERS [RATE UNITS]]
 
 The labelled spans are made by ``pii_samples``: marked ones in a bounded sample of documents (``SAMPLE_DOCUMENTS`` rows at most), many
-of them replaced by invented ones, and passages with invented ones only. The result is ``pii_weights.npz`` beside this file; with a rate the training goes on from the weights that are there.
+of them replaced by invented ones, and passages with invented ones only. The result is ``pii_weights.npz`` beside this file; with a rate the training goes on from the weights that are there, and with a number of units from so many of theirs.
 Nothing here runs when documents are tagged.
 """
 
@@ -147,7 +147,7 @@ def initial(symbols_count: int, hidden: int, rng: np.random.Generator) -> dict[s
     return p
 
 
-def train(texts: list[str], spans: list[list[Span]], hidden: int = 20, steps: int = 1500, workers: int = 8, rows: int = 24, width: int = 192, seed: int = 1, seconds: float = 900, begin: dict[str, np.ndarray] | None = None, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(texts: list[str], spans: list[list[Span]], hidden: int = 16, steps: int = 1500, workers: int = 8, rows: int = 24, width: int = 192, seed: int = 1, seconds: float = 900, begin: dict[str, np.ndarray] | None = None, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Weights of the network, trained on windows of the texts, most of them around spans; ``begin`` may give weights to go on from."""
     rng = np.random.default_rng(seed)
     counts: dict[str, int] = {}
@@ -196,6 +196,17 @@ def train(texts: list[str], spans: list[list[Span]], hidden: int = 20, steps: in
     return p | {"own": np.array(own)}
 
 
+def thinned(weights: dict[str, np.ndarray], keep: int) -> dict[str, np.ndarray]:
+    """The weights of the ``keep`` units of each direction that tell the tags and the other units most; to be trained on."""
+    out = dict(weights)
+    for d in "fb":
+        U, V = (weights[f"{k}{d}"].astype(np.float32) for k in "UV")
+        units = np.sort(np.argsort(-(np.abs(V).sum(axis=1) + 0.5 * np.abs(U).sum(axis=1)))[:keep])
+        gates = np.concatenate([units + k * len(U) for k in range(3)])
+        out |= {f"U{d}": weights[f"U{d}"][units][:, gates], f"V{d}": weights[f"V{d}"][units], f"E{d}": weights[f"E{d}"][:, gates], f"b{d}": weights[f"b{d}"][gates]}
+    return out
+
+
 def evaluate(weights: dict[str, np.ndarray], texts: list[str], spans: list[list[Span]]) -> dict[str, tuple[int, int, int]]:
     """Per kind: spans found exactly, spans found, spans labelled."""
     gold = {(k, *s) for k, sp in enumerate(spans) for s in sp}
@@ -220,17 +231,19 @@ def passages(texts: list[str], marks: list[list[Span]], make: Inventor, count: i
     return [make.passage(lambda: make.rng.choice(fillers)) for _ in range(count)]
 
 
-def main(directory: str, sample: int = 10_000, seconds: float = 900, workers: int = 8, rate: float | None = None) -> None:
+def main(directory: str, sample: int = 10_000, seconds: float = 900, workers: int = 8, rate: float | None = None, units: int | None = None) -> None:
     texts, mark = sampled(directory, sample)
     held, kept = texts[: len(texts) // 10], texts[len(texts) // 10 :]
     rng = random.Random(7 if rate is None else 17)
     make = Inventor(rng)
     marks = [mark(t) for t in kept]
-    training = [varied(t, sp, make, 0.7 if k % 2 else 0.0) for k, (t, sp) in enumerate(zip(kept, marks))]
-    training += passages(kept, marks, make, 2 * len(kept))
+    training = [varied(t, sp, make, share) for share in (0.0, 0.0, 0.0, 0.5) for t, sp in zip(kept, marks)]
+    training += passages(kept, marks, make, int(1.2 * len(kept)))
     rng.shuffle(training)
     print(len(training), "texts,", sum(len(s) for _, s in training), "spans", flush=True)
     begin = None if rate is None else dict(np.load(WEIGHTS))
+    if units is not None:
+        begin = thinned(begin, units)
     weights = train([t for t, _ in training], [s for _, s in training], seconds=seconds, steps=40_000, workers=workers, begin=begin, rate=rate or 0.01, seed=1 if rate is None else 2)
     np.savez_compressed(WEIGHTS, **{k: v if k == "own" else v.astype(np.float16) for k, v in weights.items()})
     held_marks = [mark(t) for t in held]
@@ -240,4 +253,4 @@ def main(directory: str, sample: int = 10_000, seconds: float = 900, workers: in
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], *map(int, sys.argv[2:3]), *map(float, sys.argv[3:4]), *map(int, sys.argv[4:5]), *map(float, sys.argv[5:6]))
+    main(sys.argv[1], *map(int, sys.argv[2:3]), *map(float, sys.argv[3:4]), *map(int, sys.argv[4:5]), *map(float, sys.argv[5:6]), *map(int, sys.argv[6:7]))
