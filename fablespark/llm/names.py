@@ -94,8 +94,15 @@ def _letters(words: list[str]) -> list[str]:
     return [x for x in (only_letters(re.sub(r"^d['’]", "", w)) for w in words) if x]
 
 
+def _one_edit(word: str, listed: set[str], least: int) -> bool:
+    """Whether a word is one edit from a listed word of ``least`` letters or more."""
+    letters = set(word)
+    return any(len(x) >= least and abs(len(x) - len(word)) <= 1 and len(letters ^ set(x)) <= 2 and distance(x, word) == 1 for x in listed)
+
+
+@lru_cache(100_000)
 def _is_title(word: str) -> bool:
-    return word in TITLES or (len(word) >= 3 and any(abs(len(t) - len(word)) <= 1 and len(t) >= 4 and distance(t, word) == 1 for t in TITLES))
+    return word in TITLES or (len(word) >= 3 and _one_edit(word, TITLES, 4))
 
 
 def _person(given: list[str], family: list[str]) -> tuple[str, str, str, str]:
@@ -112,8 +119,9 @@ def _person(given: list[str], family: list[str]) -> tuple[str, str, str, str]:
     return ("single", long, "", short) if len(long) > 1 else ("epithet", long + short, "", "")
 
 
+@lru_cache(100_000)
 def _is_head(word: str) -> bool:
-    return word in HEADS or (len(word) >= 4 and any(abs(len(h) - len(word)) <= 1 and distance(h, word) == 1 for h in HEADS))
+    return word in HEADS or (len(word) >= 4 and _one_edit(word, HEADS, 0))
 
 
 def _is_small(word: str) -> bool:
@@ -556,28 +564,28 @@ def _fitting(kind: str, first: str, prefix: str, members: dict[str, list[str]],
     return best[0] if len(best) == 1 else None
 
 
-def _clusters(group: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one component; within it a node goes by its parsed parts, so that ties do not hang on hashes."""
-    spelt = ["|".join(x) for x in group[["kind", "first", "second", "prefix"]].itertuples(index=False, name=None)]
-    by_node = dict(zip(group["node"].tolist(), spelt))
-    node_of = dict(zip(spelt, group["node"].tolist()))
-    nodes = list(zip(spelt, group["kind"], group["first"], group["second"], group["prefix"], group["support"].tolist()))
-    stated = [(a, by_node[b]) for a, others in zip(spelt, group["aliases_of"]) for b in others if b in by_node]
-    homes = cluster(nodes, stated)
-    return pd.DataFrame({"node": [node_of[n] for n in homes], "cluster": [node_of[h] for h in homes.values()]})
+def _clusters(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """(node, cluster) of one component; within it a node goes by its parsed parts, so that ties do not hang on hashes."""
+    by_node = {r[1]: "|".join(r[2:6]) for r in rows}
+    node_of = {spelt: node for node, spelt in by_node.items()}
+    stated = [(by_node[r[1]], by_node[b]) for r in rows for b in r[7] if b in by_node]
+    homes = cluster([(by_node[r[1]], *r[2:7]) for r in rows], stated)
+    return ((node_of[n], node_of[h]) for n, h in homes.items())
 
 
 def _cluster_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Clusters of whole components, whose rows come next to each other."""
-    rest = None
+    waiting: list[tuple] = []
     for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        tail = (rest["component"] == rest["component"].iloc[-1]).to_numpy()
-        for _, group in rest[~tail].groupby("component", sort=False):
-            yield _clusters(group)
-        rest = rest[tail]
-    if rest is not None and len(rest):
-        yield _clusters(rest)
+        done: list[tuple[int, int]] = []
+        for row in batch[["component", "node", "kind", "first", "second", "prefix", "support", "aliases_of"]].itertuples(index=False, name=None):
+            if waiting and row[0] != waiting[0][0]:
+                done += _clusters(waiting)
+                waiting = []
+            waiting.append(row)
+        yield pd.DataFrame(done, columns=["node", "cluster"], dtype=None if done else "int64")
+    if waiting:
+        yield pd.DataFrame(list(_clusters(waiting)), columns=["node", "cluster"])
 
 
 # --- Operator ------------------------------------------------------------------------------------------------------------------
