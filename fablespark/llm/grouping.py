@@ -7,8 +7,11 @@ tables of the rounds are composed at the end. All state is in DataFrames; the dr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,36 +66,69 @@ def _decompose(arcs: DataFrame, seed: int, beta: float, hops_at_once: int) -> Da
     """(id, centre): a vertex joins the centre c with the largest shift(c) - distance(c, vertex).
 
     Clusters grow hop by hop until no vertex changes its centre, so each reaches as far as its start time lets it; whether
-    any has changed is asked, and lineage cut, once in ``hops_at_once`` hops.
+    any has changed is asked, and lineage cut, once in ``hops_at_once`` hops. The arcs are shuffled once and lie by their source; a hop
+    shuffles what the vertices are told, combined before, and nothing else.
     """
+    parts = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = arcs.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)  # lost parts come from the checkpoint of the arcs
     # The first hop needs no join: what a vertex tells its neighbours follows from its own id.
-    label = _best(arcs, _shift(F.col("src"), seed, beta), F.col("src"))
+    label = _best(placed, _shift(F.col("src"), seed, beta), F.col("src"))
     for hops in count(1):
         if hops % hops_at_once == 0:
             label = cut(label)
             if label.where("changed").isEmpty():
-                return label.select("id", F.col("best.centre").alias("centre"))
-        label = _best(arcs.join(label.select("id", "best"), F.col("src") == F.col("id")), F.col("best.value"), F.col("best.centre"))
+                placed.unpersist()
+                return label.select("id", "centre")
+        label = _best(placed.join(label.select("id", "value", "centre").hint("shuffle_hash"), F.col("src") == F.col("id")), F.col("value"), F.col("centre"))
 
 
 def _best(arcs: DataFrame, value: Column, centre: Column) -> DataFrame:
-    """(id, best, changed): the best of what the arcs bring to each vertex, and whether that is better than what it had."""
-    brought = F.struct((value - F.col("step")).alias("value"), centre.alias("centre"))
-    merged = arcs.groupBy(F.col("dst").alias("id")).agg(F.max(brought).alias("best"), F.max(F.when(F.col("step") == 0, value)).alias("had"))
-    return merged.select("id", "best", (F.col("best.value") > F.col("had")).alias("changed"))
+    """(id, value, centre, changed): the best of what the arcs bring to each vertex, and whether that is better than what it had.
+
+    Of equal values any centre will do: it is of the same component.
+    """
+    brought = value - F.col("step")
+    merged = arcs.groupBy(F.col("dst").alias("id")).agg(F.max(brought).alias("value"), F.max_by(centre, brought).alias("centre"), F.max(F.when(F.col("step") == 0, value)).alias("had"))
+    return merged.select("id", "value", "centre", (F.col("value") > F.col("had")).alias("changed"))
+
+
+def _closure(arcs: DataFrame) -> DataFrame:
+    """(id, centre) of a graph of few arcs, in one task: the centre is the smallest id of the component."""
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["src"].tolist(), batch["dst"].tolist()):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        ids = list(parent)
+        yield pd.DataFrame({"id": ids, "centre": [root(x) for x in ids]}, dtype=None if ids else "int64")
+
+    kind = arcs.schema["src"].dataType.simpleString()
+    return cut(arcs.select("src", "dst").repartition(1).mapInPandas(close, f"id {kind}, centre {kind}"))
 
 
-def connected_groups(edges: DataFrame, beta: float = 0.1, hops_at_once: int = 4, seed: int = 11) -> DataFrame:
+def connected_groups(edges: DataFrame, beta: float = 0.6, hops_at_once: int = 3, seed: int = 11, base_arcs: int = 10_000) -> DataFrame:
     """(id, group_id) for every vertex of ``edges`` (columns u, v); group_id is the smallest id of its component.
 
     ``beta`` is the rate of the start-time shifts: about that share of the edges is left between clusters after a round, and a
-    cluster of n vertices has a radius of about ln(n) / beta at most. Pairs may be repeated and in either order; null ids and pairs of an
+    cluster of n vertices has a radius of about ln(n) / beta at most. The recursion ends in a graph of ``base_arcs`` arcs (four to a pair) at
+    most, which one task closes. Pairs may be repeated and in either order; null ids and pairs of an
     id with itself are left out. An empty edge table gives an empty result.
     """
     tables: list[DataFrame] = []
     current = _arcs(edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b")))
     none = current.select(F.col("src").alias("id"), F.col("src").alias("group_id")).limit(0)
-    while not current.isEmpty():
+    while left := current.count():
+        if left <= base_arcs:
+            tables.append(_closure(current))
+            break
         own = _decompose(current, seed + len(tables), beta, hops_at_once)
         tables.append(own)
         between = current.where("src < dst").join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst")

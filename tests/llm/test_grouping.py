@@ -31,7 +31,9 @@ def test_groups_are_the_closure(spark):
     edges = [(rng.randint(1, 120), rng.randint(1, 120)) for _ in range(90)]
     edges += [(k, k + 1) for k in range(1000, 1150)] + [(5000, 5001 + k) for k in range(200)] + [(7, 7)]
     edges += edges[:20] + [(b, a) for a, b in edges[:20]]
-    found = {r["id"]: r["group_id"] for r in connected_groups(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    found = {r["id"]: r["group_id"] for r in connected_groups(df, base_arcs=0).collect()}
+    assert found == {r["id"]: r["group_id"] for r in connected_groups(df).collect()} == {r["id"]: r["group_id"] for r in connected_groups(df, base_arcs=600).collect()}
     assert found == closure([(a, b) for a, b in edges if a != b])
 
 
@@ -39,7 +41,7 @@ def test_parameters_do_not_change_the_groups(spark):
     edges = [(k, k + 1) for k in range(6)]
     df = spark.createDataFrame(edges, "u bigint, v bigint")
     for beta, hops in ((0.5, 1), (0.05, 5), (0.3, 2)):
-        assert {r["group_id"] for r in connected_groups(df, beta=beta, hops_at_once=hops, seed=3).collect()} == {0}
+        assert {r["group_id"] for r in connected_groups(df, beta=beta, hops_at_once=hops, seed=3, base_arcs=0).collect()} == {0}
 
 
 def test_clusters_grow_as_far_as_their_start_times_allow(spark):
